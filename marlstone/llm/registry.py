@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_rules, secret_ledger
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op8_secret_ledger": secret_ledger.op8_secret_ledger,
 }
 
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
+    "op8_secret_ledger": secret_ledger.ORACLE,
 }
