@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality_rules, secret_ledger
+from . import pii_feistel, quality_rules, secret_ledger
 
 QUERIES = {
+    "op1_pii_feistel": pii_feistel.op1_pii_feistel,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op8_secret_ledger": secret_ledger.op8_secret_ledger,
 }
