@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import pii_feistel, quality_rules, secret_ledger
+from . import best_fit_packing, language_filters, license_scan, pii_feistel, quality_rules, secret_ledger
 
 QUERIES = {
     "op1_pii_feistel": pii_feistel.op1_pii_feistel,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op4_language_filters": language_filters.op4_language_filters,
+    "op6_best_fit_packing": best_fit_packing.op6_best_fit_packing,
     "op8_secret_ledger": secret_ledger.op8_secret_ledger,
+    "op10_license_scan": license_scan.op10_license_scan,
 }
 
 ORACLES = {
