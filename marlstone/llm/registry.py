@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, language_filters, license_scan, pii_feistel, quality_rules, secret_ledger
+from . import best_fit_packing, language_filters, license_scan, pii_feistel, quality_rules, secret_ledger, simhash_pigeonhole
 
 QUERIES = {
     "op1_pii_feistel": pii_feistel.op1_pii_feistel,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_language_filters": language_filters.op4_language_filters,
+    "op5_simhash_pigeonhole": simhash_pigeonhole.op5_simhash_pigeonhole,
     "op6_best_fit_packing": best_fit_packing.op6_best_fit_packing,
     "op8_secret_ledger": secret_ledger.op8_secret_ledger,
     "op10_license_scan": license_scan.op10_license_scan,
