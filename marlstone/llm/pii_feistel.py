@@ -13,6 +13,8 @@ returned as it is; repeated rows are treated alike, extra columns are carried al
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,14 +47,19 @@ def _numbered(patterns: dict[str, str]) -> str:
 CANDIDATE = _numbered(PATTERNS)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _digest(key: str, *parts: Column) -> Column:
     """60 bits of a keyed hash as a long."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), *parts), 256), 1, 15), 16, 10).cast("long")
 
 
-def feistel(left: Column, right: Column, a: Column, b: Column, key: str, tweak: Column) -> tuple[Column, Column]:
-    """Keyed permutation of the pairs (left < a, right < b): even rounds add to the left
-    residue what a hash of the right one gives, odd rounds the other way."""
+def feistel(left: Column, right: Column, a: Column, b: Column, key: str, tweak: Column) -> Column:
+    """Keyed permutation of the pairs (left < a, right < b), as a struct (l, r): even rounds
+    add to the left residue what a hash of the right one gives, odd rounds the other way."""
     start = F.struct(left.cast("long").alias("l"), right.cast("long").alias("r"))
 
     def step(s: Column, i: Column) -> Column:
@@ -60,8 +67,7 @@ def feistel(left: Column, right: Column, a: Column, b: Column, key: str, tweak:
         add = _digest(key, tweak, i.cast("string"), F.when(even, s["r"]).otherwise(s["l"]).cast("string"))
         return F.struct(F.when(even, F.pmod(s["l"] + F.pmod(add, a), a)).otherwise(s["l"]).alias("l"), F.when(even, s["r"]).otherwise(F.pmod(s["r"] + F.pmod(add, b), b)).alias("r"))
 
-    out = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
-    return out["l"], out["r"]
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
 
 
 def _power(n: Column) -> Column:
@@ -72,10 +78,10 @@ def permuted_digits(digits: Column, key: str, kind: str) -> Column:
     """A digit string of up to 18 to another of that length."""
     n = F.length(digits)
     half = F.floor(n / 2).cast("int")
-    number = lambda s: F.coalesce(s.cast("long"), F.lit(0).cast("long"))
-    left, right = feistel(number(F.substr(digits, F.lit(1), half)), number(F.substr(digits, half + 1)), _power(half), _power(n - half), key, F.concat_ws(":", F.lit(kind), n.cast("string")))
+    number = lambda s: F.coalesce(s.try_cast("long"), F.lit(0).cast("long"))
+    new = feistel(number(F.substr(digits, F.lit(1), half)), number(F.substr(digits, half + 1)), _power(half), _power(n - half), key, F.concat_ws(":", F.lit(kind), n.cast("string")))
     pad = lambda x, k: F.when(k > 0, F.lpad(x.cast("string"), k, "0")).otherwise("")
-    return F.concat(pad(left, half), pad(right, n - half))
+    return bound(new, lambda x: F.concat(pad(x["l"], half), pad(x["r"], n - half)))
 
 
 def _digits(s: Column) -> Column:
@@ -86,7 +92,7 @@ def _refilled(token: Column, digits: Column) -> Column:
     """The token with its digits replaced one by one."""
     place = lambda i: F.length(_digits(F.substr(token, F.lit(1), i)))
     char = lambda i: F.substr(token, i, F.lit(1))
-    return F.array_join(F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.when(char(i).between("0", "9"), F.substr(digits, place(i), F.lit(1))).otherwise(char(i))), "")
+    return bound(digits, lambda d: F.array_join(F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.when(char(i).between("0", "9"), F.substr(d, place(i), F.lit(1))).otherwise(char(i))), ""))
 
 
 def _luhn(digits: Column) -> Column:
@@ -102,22 +108,21 @@ def _luhn(digits: Column) -> Column:
 
 
 def _card(token: Column, key: str) -> Column:
-    digits = _digits(token)
-    body = permuted_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    check = (10 - _luhn(F.concat(body, F.lit("0")))) % 10
-    return F.when(_luhn(digits) == 0, _refilled(token, F.concat(body, check.cast("string"))))
+    check = lambda body: (10 - _luhn(F.concat(body, F.lit("0")))) % 10
+    whole = lambda body: F.concat(body, check(body).cast("string"))
+    new = lambda digits: bound(permuted_digits(F.substr(digits, F.lit(1), F.length(digits) - 1), key, "card"), whole)
+    return bound(_digits(token), lambda digits: F.when(_luhn(digits) == 0, _refilled(token, new(digits))))
 
 
 def _phone(token: Column, key: str) -> Column:
-    digits = _digits(token)
     kept = F.when(token.startswith("+"), F.lit(1)).otherwise(F.lit(0))
-    return _refilled(token, F.concat(F.substr(digits, F.lit(1), kept), permuted_digits(F.substr(digits, kept + 1), key, "phone")))
+    return bound(_digits(token), lambda digits: _refilled(token, F.concat(F.substr(digits, F.lit(1), kept), bound(F.substr(digits, kept + 1), lambda d: permuted_digits(d, key, "phone")))))
 
 
 def _ip(token: Column, key: str) -> Column:
     part = lambda i: F.get(F.split(token, r"\."), i).cast("long")
-    left, right = feistel(part(0) * 256 + part(1), part(2) * 256 + part(3), F.lit(65536), F.lit(65536), key, F.lit("ip"))
-    new = F.concat_ws(".", *((F.shiftright(x, s) % 256).cast("string") for x in (left, right) for s in (8, 0)))
+    pair = feistel(part(0) * 256 + part(1), part(2) * 256 + part(3), F.lit(65536), F.lit(65536), key, F.lit("ip"))
+    new = bound(pair, lambda x: F.concat_ws(".", *((F.shiftright(x[h], s) % 256).cast("string") for h in ("l", "r") for s in (8, 0))))
     return F.when((part(0) < 256) & (part(1) < 256) & (part(2) < 256) & (part(3) < 256), new)
 
 
@@ -126,11 +131,14 @@ def _ssn(token: Column, key: str) -> Column:
     part = lambda i: F.get(F.split(token, "-"), i).cast("long")
     area = part(0)
     index = area - F.when(area > 666, 2).otherwise(1)
-    left, right = feistel(index * 99 + part(1) - 1, part(2) - 1, F.lit(898 * 99), F.lit(9999), key, F.lit("ssn"))
-    new = F.floor(left / 99)
-    new = new + F.when(new >= 665, 2).otherwise(1)
     pad = lambda x, k: F.lpad(x.cast("long").cast("string"), k, "0")
-    return F.when(area.between(1, 899) & (area != 666) & (part(1) > 0) & (part(2) > 0), F.concat_ws("-", pad(new, 3), pad(left % 99 + 1, 2), pad(right + 1, 4)))
+
+    def text(x: Column) -> Column:
+        new = F.floor(x["l"] / 99)
+        return F.concat_ws("-", pad(new + F.when(new >= 665, 2).otherwise(1), 3), pad(x["l"] % 99 + 1, 2), pad(x["r"] + 1, 4))
+
+    pair = feistel(index * 99 + part(1) - 1, part(2) - 1, F.lit(898 * 99), F.lit(9999), key, F.lit("ssn"))
+    return F.when(area.between(1, 899) & (area != 666) & (part(1) > 0) & (part(2) > 0), bound(pair, text))
 
 
 #: Days from 1900-01-01 to 2099-12-31: 17 * 4297.
@@ -146,17 +154,22 @@ def _date(token: Column, key: str) -> Column:
     first = F.length(part(0)) == 4
     day_first = day_of(part(2), part(1), part(0))
     day = F.when(first, day_of(part(0), part(1), part(2))).otherwise(F.coalesce(day_first, day_of(part(2), part(0), part(1))))
-    n = F.datediff(day, F.lit("1900-01-01").cast("date")).cast("long")
-    left, right = feistel(F.floor(n / _DAYS[1]), n % _DAYS[1], F.lit(_DAYS[0]), F.lit(_DAYS[1]), key, F.lit("date"))
-    new = F.date_add(F.lit("1900-01-01").cast("date"), (left * _DAYS[1] + right).cast("int"))
-    year, month, date = F.year(new).cast("string"), F.month(new).cast("string"), F.dayofmonth(new).cast("string")
     fit = lambda x, wide: F.when(wide, F.lpad(x, 2, "0")).otherwise(x)
-    text = (
-        F.when(first, F.concat(year, sep, fit(month, padded(1)), sep, fit(date, padded(2))))
-        .when(day_first.isNotNull(), F.concat(fit(date, padded(0)), sep, fit(month, padded(1)), sep, year))
-        .otherwise(F.concat(fit(month, padded(0)), sep, fit(date, padded(1)), sep, year))
-    )
-    return F.when(n.between(0, _DAYS[0] * _DAYS[1] - 1), text)
+
+    def text(new: Column) -> Column:
+        year, month, date = F.year(new).cast("string"), F.month(new).cast("string"), F.dayofmonth(new).cast("string")
+        return (
+            F.when(first, F.concat(year, sep, fit(month, padded(1)), sep, fit(date, padded(2))))
+            .when(day_first.isNotNull(), F.concat(fit(date, padded(0)), sep, fit(month, padded(1)), sep, year))
+            .otherwise(F.concat(fit(month, padded(0)), sep, fit(date, padded(1)), sep, year))
+        )
+
+    def moved(n: Column) -> Column:
+        pair = feistel(F.floor(n / _DAYS[1]), n % _DAYS[1], F.lit(_DAYS[0]), F.lit(_DAYS[1]), key, F.lit("date"))
+        new = bound(pair, lambda x: F.date_add(F.lit("1900-01-01").cast("date"), (x["l"] * _DAYS[1] + x["r"]).cast("int")))
+        return F.when(n.between(0, _DAYS[0] * _DAYS[1] - 1), bound(new, text))
+
+    return bound(F.datediff(day, F.lit("1900-01-01").cast("date")).cast("long"), moved)
 
 
 def _no_digits(s: Column) -> Column:
@@ -174,10 +187,10 @@ def _mod97(s: Column) -> Column:
 def _iban(token: Column, key: str) -> Column:
     plain = F.replace(token, F.lit(" "), F.lit(""))
     country, body = F.substr(plain, F.lit(1), F.lit(2)), F.substr(plain, F.lit(5))
-    digits = _digits(body)
-    new = F.concat(permuted_digits(F.substr(digits, F.lit(1), F.lit(18)), key, "iban"), permuted_digits(F.substr(digits, F.lit(19)), key, "iban2"))
-    check = F.lpad((98 - _mod97(F.concat(_refilled(body, new), country, F.lit("00")))).cast("string"), 2, "0")
-    return F.when((_mod97(F.concat(body, F.substr(plain, F.lit(1), F.lit(4)))) == 1) & (F.length(plain) >= 15), _refilled(token, F.concat(check, new)))
+    new = lambda d: F.concat(permuted_digits(F.substr(d, F.lit(1), F.lit(18)), key, "iban"), permuted_digits(F.substr(d, F.lit(19)), key, "iban2"))
+    check = lambda x: F.lpad((98 - _mod97(F.concat(_refilled(body, x), country, F.lit("00")))).cast("string"), 2, "0")
+    whole = bound(bound(_digits(body), new), lambda x: F.concat(check(x), x))
+    return F.when((_mod97(F.concat(body, F.substr(plain, F.lit(1), F.lit(4)))) == 1) & (F.length(plain) >= 15), _refilled(token, whole))
 
 
 def _email(token: Column, key: str) -> Column:
@@ -190,12 +203,11 @@ _MAKERS = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn
 
 def pseudonym(token: Column, key: str) -> Column:
     """(kind, value) of a candidate; value is null if it isn't valid under its pattern."""
-    kind, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    out = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("value"))
     for name in reversed(KINDS):
-        is_it = token.rlike(f"^(?:{PATTERNS[name]})$")
-        kind = F.when(is_it, F.lit(name)).otherwise(kind)
-        value = F.when(is_it, _MAKERS[name](token, key)).otherwise(value)
-    return F.struct(kind.alias("kind"), value.alias("value"))
+        made = F.struct(F.lit(name).alias("kind"), _MAKERS[name](token, key).alias("value"))
+        out = F.when(token.rlike(f"^(?:{PATTERNS[name]})$"), made).otherwise(out)
+    return out
 
 
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
