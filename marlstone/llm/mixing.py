@@ -12,8 +12,8 @@ order whose tokens fit in the rest. The prefix is found by totals of hash ranges
 one is looked at row by row; a hot leaf is never in one task.
 
 Tokens are words between white space. Null levels are the node ``?``, null texts have no
-tokens, a leaf without tokens gives nothing. Repeated rows stand or fall together. Columns
-named like a level in use are taken as it; all columns of the input are carried along.
+tokens, a leaf without tokens gives nothing. Repeated rows stand or fall together. All
+columns of the input are carried along, but for ``_epoch`` and ``_tokens``, which are new.
 """
 
 from __future__ import annotations
@@ -113,13 +113,14 @@ def mix(
     inside = rows.withColumn("_sum", F.sum("tokens").over(Window.partitionBy(*names).orderBy("_h", "_key"))).where("_sum <= _left")
     last = inside.groupBy(*names).agg(F.max(F.struct("_h", "_key")).alias("_last"))
     table = staged(plan.join(cut, names, "left").join(last, names, "left").select(*names, "_full", "_cut", "_last"), "cuts")
-    h = _order(seed, F.col("_full"), F.col(key))
+    h = _order(seed, F.col("_full"), F.col("_key"))
     place = F.shiftright(h, 60 - RANGE_BITS)
     # No cut: the rest is less than any prefix, or nothing (a leaf's rest is under its tokens).
-    more = F.coalesce((place < F.col("_cut")) | ((place == F.col("_cut")) & (F.struct(h.alias("_h"), F.col(key).alias("_key")) <= F.col("_last"))), F.lit(False))
-    out = docs.withColumns(nodes | {"_tokens": _words(text_or_empty(text))}).join(small(table), names)
-    copies = F.col("_full") + more.cast("int")
-    return out.withColumn("_copies", copies).where("_copies > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1))).select(*docs.columns, "_epoch", "_tokens")
+    more = F.coalesce((place < F.col("_cut")) | ((place == F.col("_cut")) & (F.struct(h.alias("_h"), F.col("_key")) <= F.col("_last"))), F.lit(False))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), *(c.alias(n) for n, c in nodes.items()), _words(text_or_empty(text)).alias("_tokens"))
+    out = rows.join(small(table), names).withColumn("_copies", F.col("_full") + more.cast("int")).where("_copies > 0")
+    out = out.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    return out.select(*(F.col("_row")[c].alias(c) for c in docs.columns if c not in ("_epoch", "_tokens")), "_epoch", "_tokens")
 
 
 def levels_of_documents() -> dict[str, Column]:

@@ -213,15 +213,16 @@ def pseudonym(token: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """``docs`` with the text rewritten and ``pii``: array of the kinds replaced, in order."""
     rest = [c for c in docs.columns if c not in (text, "pii")]
-    t = F.col(text)
     none = F.array().cast("array<string>")
+    df = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("_row"), F.col(text).alias("_text"))
+    t = F.col("_text")
     found = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))).otherwise(none)
-    df = docs.select(*rest, text, found.alias("_found"))
-    df = df.select(*rest, text, "_found", F.transform("_found", lambda m: pseudonym(m, key)).alias("_new"), F.when(F.size("_found") > 0, F.split(t, CANDIDATE, -1)).alias("_gaps"))
+    df = df.select("_row", "_text", found.alias("_found"))
+    df = df.select("_row", "_text", "_found", F.transform("_found", lambda m: pseudonym(m, key)).alias("_new"), F.when(F.size("_found") > 0, F.split(t, CANDIDATE, -1)).alias("_gaps"))
     piece = lambda g, i: F.concat(g, F.coalesce(F.get(F.col("_new"), i)["value"], F.get(F.col("_found"), i), F.lit("")))
     rewritten = F.when(F.size("_found") > 0, F.array_join(F.transform("_gaps", piece), "")).otherwise(t)
     kinds = F.transform(F.filter("_new", lambda s: s["value"].isNotNull()), lambda s: s["kind"])
-    return df.select(*rest, rewritten.alias(text), kinds.alias("pii"))
+    return df.select(*(rewritten.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns if c != "pii"), kinds.alias("pii"))
 
 
 def op1_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:

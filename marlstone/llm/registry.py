@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, language_filters, license_scan, mixing, pii_feistel, quality_rules, secret_ledger, simhash_pigeonhole, topk_histogram
+from . import best_fit_packing, language_filters, license_scan, mixing, pii_feistel, quality_rules, repeat_index, secret_ledger, simhash_pigeonhole, topk_histogram
 
 QUERIES = {
     "op1_pii_feistel": pii_feistel.op1_pii_feistel,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_repeat_index": repeat_index.op3_repeat_index,
     "op4_language_filters": language_filters.op4_language_filters,
     "op5_simhash_pigeonhole": simhash_pigeonhole.op5_simhash_pigeonhole,
     "op6_best_fit_packing": best_fit_packing.op6_best_fit_packing,
