@@ -40,8 +40,10 @@ KMER = 20
 #: Windows that one anchor can stand for, and bytes around it.
 SPAN = LENGTH - KMER + 1
 AROUND = LENGTH + SPAN - 1
-#: Bytes of text handled at once, under 2^24.
-CHUNK = 8 << 20
+#: Bytes of text handled at once, under 2^24; small enough for a processor's cache.
+CHUNK = 1 << 20
+#: Anchors, and surroundings, gathered before they are dealt out.
+GATHER, GATHER_AROUND = 1 << 20, 1 << 17
 #: Bytes of one index.
 SLAB = 2 << 20
 #: Documents with one anchor from which its windows are dealt out one by one: at least
@@ -202,33 +204,20 @@ def shared_anchors(docs: DataFrame, parts: int, hot: int) -> DataFrame:
     more than that many documents, with no document."""
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
+        turn, held, n = 0, [], 0
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             texts = _encoded(b.column(1))
             first: dict[bytes, int] = {}
             once = [first.setdefault(t, i) == i for i, t in enumerate(texts)]  # copies have nothing to add
             for a in anchors([t if ok else b"" for t, ok in zip(texts, once, strict=True)]):
-                doc, key = ids[a.row], a.key
-                order = np.lexsort((doc, key))
-                doc, key = doc[order], key[order]
-                edges = _group_edges(key, doc)
-                doc, key = doc[edges], key[edges]  # one row for a document's anchor
-                edges = _group_edges(key)
-                count = np.diff(np.r_[edges, len(key)])
-                reply = np.repeat(count > 1, count)
-                known = [doc[reply], _short(key[reply], parts)]
-                rows = []
-                for part, at in _slices(_part(key[edges], parts)):
-                    i = edges[at]
-                    i = i[np.argsort(doc[i], kind="stable")]
-                    n = count[np.searchsorted(edges, i)]
-                    rows.append((part, _packed((key[i] & _U(0xFFFFFFFF)).astype(np.uint32), doc[i], n.astype(np.uint32))))
-                if rows:
-                    yield _blobs(rows)
-                for at in range(0, len(known[0]), 1 << 18):
-                    yield _blobs([(turn % parts, _packed(known[0][at : at + (1 << 18)], known[1][at : at + (1 << 18)]))])
-                    turn += 7
+                held.append((ids[a.row], a.key))
+                n += len(a.key)
+                if n >= GATHER:
+                    yield from _offered(held, parts, turn)
+                    turn, held, n = turn + 1, [], 0
+        if held:
+            yield from _offered(held, parts, turn)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def table(doc: np.ndarray, key: np.ndarray, is_hot: bool) -> pa.RecordBatch:
@@ -260,6 +249,41 @@ def shared_anchors(docs: DataFrame, parts: int, hot: int) -> DataFrame:
     return staged(found.repartition("part").sortWithinPartitions("part").mapInArrow(answer, "doc long, key long, hot boolean"), "shared")
 
 
+def _offered(held: list[tuple[np.ndarray, np.ndarray]], parts: int, turn: int) -> Iterator[pa.RecordBatch]:
+    """Anchors by part, one item for each with the number of documents here that have it;
+    what two of them share is known at once and needs no answer."""
+    doc, key = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(key, kind="stable")
+    doc, key = doc[order], key[order]
+    edges = _group_edges(key)
+    several = np.repeat(np.diff(np.r_[edges, len(key)]) > 1, np.diff(np.r_[edges, len(key)]))
+    # One row for a document's anchor; few anchors come twice, so only those are sorted.
+    twice = np.nonzero(several)[0]
+    twice = twice[np.lexsort((doc[twice], key[twice]))]
+    again = np.zeros(len(twice), bool)
+    again[1:] = (key[twice][1:] == key[twice][:-1]) & (doc[twice][1:] == doc[twice][:-1])
+    keep = np.ones(len(key), bool)
+    keep[twice[again]] = False
+    doc, key = doc[keep], key[keep]
+    edges = _group_edges(key)
+    count = np.diff(np.r_[edges, len(key)])
+    reply = np.repeat(count > 1, count)
+    known = doc[reply], _short(key[reply], parts)
+    one, key = doc[edges], key[edges]
+    part = _part(key, parts)  # in order, as keys are
+    cuts = np.searchsorted(part, np.arange(parts + 1))
+    low, count = (key & _U(0xFFFFFFFF)).astype(np.uint32), count.astype(np.uint32)
+    rows = []
+    for p in np.nonzero(np.diff(cuts))[0].tolist():
+        at = slice(cuts[p], cuts[p + 1])
+        by = np.argsort(one[at], kind="stable")
+        rows.append((p, _packed(low[at][by], one[at][by], count[at][by])))
+    for at in range(0, len(known[0]), 1 << 18):
+        rows.append(((turn * 7 + at) % parts, _packed(known[0][at : at + (1 << 18)], known[1][at : at + (1 << 18)])))
+    if rows:
+        yield _blobs(rows)
+
+
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
     part, blobs = None, []
     for b in batches:
@@ -354,11 +378,12 @@ class RunIndex:
         self.group = np.nonzero(new)[0]
         self.least = np.minimum.reduceat(ids[owner[sa]], self.group)
 
-    def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common beginning of two suffixes, to the end of a text at most."""
+    def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Length of the common beginning of two suffixes, up to ``most``."""
         out = np.zeros(len(a), np.int64)
         live = np.arange(len(a))
         for k in range(AROUND):
+            live = live[most[live] > k]
             x, y = a[live] + k, b[live] + k
             ok = (x < self.n) & (y < self.n)
             ok[ok] = (self.text[x[ok]] == self.text[y[ok]]) & (self.text[x[ok]] != 0)
@@ -388,8 +413,8 @@ class RunIndex:
             now = pos[live[miss]]
             most = length[live[miss]]
             up_pos, down_pos = self.last_sample[run[miss]], self.first_sample[down]
-            up_len = np.where(up_ok, np.minimum(most, self._common(now, up_pos)), -1)
-            down_len = np.where(down_ok, np.minimum(most, self._common(now, down_pos)), -1)
+            up_len = np.where(up_ok, self._common(now, up_pos, most), -1)
+            down_len = np.where(down_ok, self._common(now, down_pos, most), -1)
             take_down = down_len > up_len
             run[miss] = np.where(take_down, down, run[miss])
             q[miss] = np.where(take_down, self.head[down], self.last[run[miss]])
@@ -420,17 +445,16 @@ def repeat_marks(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
     shared_hot = docs.sparkSession.sparkContext.broadcast(np.sort(hot))
 
     def hand_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             wanted, offsets = b.column(2).flatten().to_numpy(zero_copy_only=False), b.column(2).offsets.to_numpy()
             offsets = offsets - offsets[0]
-            # Row and name in one number, sorted, to look anchors up.
-            owner = np.repeat(np.arange(len(ids)), np.diff(offsets))
-            order = np.lexsort((wanted, owner))
-            owner, wanted = owner[order], wanted[order]
+            want = np.sort(_pair(np.repeat(np.arange(len(ids)), np.diff(offsets)), wanted))
             for a in anchors(_encoded(b.column(1))):
                 name = _short(a.key, parts)
-                keep = _member(a.row, name, owner, wanted)
+                pair = _pair(a.row, name)
+                keep = want[np.minimum(np.searchsorted(want, pair), len(want) - 1)] == pair if len(want) else np.zeros(len(pair), bool)
                 row, start, at, n, key, name = a.row[keep], a.start[keep], a.at[keep], a.n[keep], a.key[keep], name[keep]
                 is_hot = np.isin(name, shared_hot.value)
                 if is_hot.any():
@@ -442,12 +466,19 @@ def repeat_marks(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
                         h = _mixed(h ^ np.ascontiguousarray(window[:, k : k + 8]).view(_U)[:, 0])
                     row, start, at, key = (np.r_[x[~is_hot], y] for x, y in ((row, row[one]), (start, start[one] + step), (at, at[one] + step), (key, h)))
                     n = np.r_[n[~is_hot], np.ones(len(one), np.int64)]
-                for cut in range(0, len(row), 1 << 17):
-                    s = slice(cut, cut + (1 << 17))
-                    size = n[s] + LENGTH - 1
-                    place = np.minimum(at[s][:, None] + np.arange(AROUND)[None, :], len(a.bytes) - 1)
-                    around = np.where(np.arange(AROUND)[None, :] < size[:, None], a.bytes[place], 0).astype(np.uint8)
-                    yield _blobs(list(_parts_of(around, size, key[s], ids[row[s]], start[s], parts)))
+                for at_ in range(0, len(row), GATHER_AROUND):
+                    r = slice(at_, at_ + GATHER_AROUND)
+                    size = n[r] + LENGTH - 1
+                    place = np.minimum(at[r][:, None] + np.arange(AROUND)[None, :], len(a.bytes) - 1)
+                    around = a.bytes[place]
+                    around[np.arange(AROUND)[None, :] >= size[:, None]] = 0
+                    held.append((around, size, key[r], ids[row[r]], start[r]))
+                    total += len(size)
+                    if total >= GATHER_AROUND:
+                        yield _blobs(list(_parts_of(*(np.concatenate(x) for x in zip(*held, strict=True)), parts)))
+                        held, total = [], 0
+        if held:
+            yield _blobs(list(_parts_of(*(np.concatenate(x) for x in zip(*held, strict=True)), parts)))
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs in _by_part(batches):
@@ -457,11 +488,9 @@ def repeat_marks(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
     return staged(blobs.repartition("part").sortWithinPartitions("part").mapInArrow(decide, "doc long, start int, mask int"), "marks")
 
 
-def _member(row: np.ndarray, name: np.ndarray, owner: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Whether (row, name) is among the sorted pairs (owner, wanted)."""
-    names, index = np.unique(np.concatenate([wanted, name]), return_inverse=True)
-    width = len(names) + 1
-    return np.isin(row * width + index[len(wanted) :], owner * width + index[: len(wanted)])
+def _pair(row: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Row and anchor in one number; a chance equality only hands on bytes in vain."""
+    return _mixed(_mixed(row.astype(np.int64).view(_U) + _U(1)) ^ name.view(_U))
 
 
 def _parts_of(around: np.ndarray, size: np.ndarray, key: np.ndarray, doc: np.ndarray, start: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
