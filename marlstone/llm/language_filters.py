@@ -25,12 +25,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents
+from .common import documents, staged
 
 SIZES = (2, 3, 4)
 #: Documents read for fitting, and n-grams kept, of each language.
 PER_LANGUAGE = 2000
 GRAMS = 20_000
+#: Ids of fitting documents up to which they are broadcast (8 MB).
+BROADCAST_IDS = 1_000_000
 SLOT_BITS = 20
 HASHES = 3
 #: An n-gram stays if its rate is this share or more of its highest rate in any language.
@@ -135,9 +137,10 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     order = Window.partitionBy("_lang").orderBy(F.xxhash64(F.lit("fit"), F.col("_key").cast("string")), "_key")
     chosen = rows.select(F.col(key).alias("_key"), F.col(lang).alias("_lang")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).select("_key").distinct()
-    # At most per_language rows of each language; a join hint would be as safe, but the
-    # planner already knows the size of so small a result.
-    sample = rows.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).join(chosen, "_key", "left_semi").select("_lang", "_text")
+    # At most per_language ids of each language: broadcast unless there are very many.
+    chosen = staged(chosen, "chosen")
+    few = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
+    sample = rows.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.col(text).alias("_text")).join(few, "_key", "left_semi").select("_lang", "_text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
