@@ -571,7 +571,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", hot
     rows = docs.select(F.col(key).cast("long").alias("doc"), text_or_empty(text).alias("text"))
     address = rows.where("doc is not null").select("doc", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
     least = address.groupBy("sha").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n"))
-    some = least.where("least < most")
+    # Written, so that the join deals it out anew and may split a frequent text's rows.
+    some = staged(least.where("least < most").select("sha", "least"), "copied")
     copies = staged(address.join(some, "sha").where("doc > least").select("doc").distinct(), "copies")
     if hot is None:
         hot = max(HOT_LEAST, rows.count() // HOT_SHARE)
