@@ -135,8 +135,13 @@ def build_filters(grams: dict[str, np.ndarray]) -> Filters:
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, grams: int = GRAMS) -> Filters:
     """Filters from rows with a language; at most ``per_language`` of each are read."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    order = Window.partitionBy("_lang").orderBy(F.xxhash64(F.lit("fit"), F.col("_key").cast("string")), "_key")
-    chosen = rows.select(F.col(key).alias("_key"), F.col(lang).alias("_lang")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).select("_key").distinct()
+    ids = rows.select(F.col(key).alias("_key"), F.col(lang).alias("_lang"), F.xxhash64(F.lit("fit"), F.col(key).cast("string")).alias("_h"))
+    # Rows that can be among the first: twice as many as wanted, by the share of the hash
+    # range that a language of its size needs. Only those meet in a language's window.
+    share = ids.groupBy("_lang").agg((F.least(F.lit(1.0), F.lit(2.0 * per_language + 100) / F.count("*")) * 2.0**40).alias("_limit"))
+    ids = ids.join(staged(share, "shares"), "_lang").where(F.pmod("_h", F.lit(1 << 40)) < F.col("_limit"))
+    order = Window.partitionBy("_lang").orderBy(F.pmod("_h", F.lit(1 << 40)), "_key")
+    chosen = ids.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language).select("_key").distinct()
     # At most per_language ids of each language: broadcast unless there are very many.
     chosen = staged(chosen, "chosen")
     few = F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
