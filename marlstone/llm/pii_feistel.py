@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, sealed
 
 #: The default key of the queries; a production run passes its own.
 KEY = "marlstone-demonstration-key"
@@ -218,7 +218,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
     t = F.col("_text")
     found = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))).otherwise(none)
     df = df.select("_row", "_text", found.alias("_found"))
-    df = df.select("_row", "_text", "_found", F.transform("_found", lambda m: pseudonym(m, key)).alias("_new"), F.when(F.size("_found") > 0, F.split(t, CANDIDATE, -1)).alias("_gaps"))
+    df = sealed(df.select("_row", "_text", "_found", F.transform("_found", lambda m: pseudonym(m, key)).alias("_new"), F.when(F.size("_found") > 0, F.split(t, CANDIDATE, -1)).alias("_gaps")))
     piece = lambda g, i: F.concat(g, F.coalesce(F.get(F.col("_new"), i)["value"], F.get(F.col("_found"), i), F.lit("")))
     rewritten = F.when(F.size("_found") > 0, F.array_join(F.transform("_gaps", piece), "")).otherwise(t)
     kinds = F.transform(F.filter("_new", lambda s: s["value"].isNotNull()), lambda s: s["kind"])

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, SPACES, documents, text_or_empty
+from .common import SPACE_CHARS, SPACES, documents, sealed, text_or_empty
 
 #: Frequent function words of four languages.
 STOP_WORDS = (
@@ -98,7 +98,7 @@ def measures(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     same = lambda s, i: F.coalesce(s["w"] == word(i + 1), F.lit(False)) | F.coalesce((i > 0) & (s["w"] == word(F.greatest(i - 1, F.lit(0)))), F.lit(False))
     out = out.withColumn("_at", F.sort_array(F.transform(F.filter("_windows", same), lambda s: s["i"])))
     new = F.transform("_at", lambda p, i: F.when(i == 0, F.lit(3)).otherwise(F.least(F.lit(3), p - F.get(F.col("_at"), F.greatest(i - 1, F.lit(0))))))
-    return out.withColumn("n_repeat_words", F.aggregate(new, F.lit(0).cast("long"), lambda a, x: a + x)).drop("_windows", "_at")
+    return sealed(out.withColumn("n_repeat_words", F.aggregate(new, F.lit(0).cast("long"), lambda a, x: a + x)).drop("_windows", "_at"))
 
 
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
