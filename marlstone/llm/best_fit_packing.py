@@ -2,8 +2,8 @@
 
 Bounded-space online best fit: each task keeps at most ``open_bins`` bins, found by a bitset
 keyed by free space; a piece goes to the open bin that it fills best, and when there is no
-room the fullest open bin closes first. Bins that a task leaves open are packed once more,
-as whole items, so that the number of tasks costs no space.
+room the fullest open bin closes first. What is in bins that a task leaves open is packed
+once more, the longest pieces first, so that the number of tasks costs no space.
 
 Only documents longer than a sequence are cut, so that all pieces but the first are full.
 A null text is the empty text, whose ids are the separator alone. Repeated rows are packed
@@ -27,8 +27,10 @@ from pyspark.sql import functions as F
 from .common import documents, staged
 
 LENGTH = 2048
-OPEN_BINS = 512
+OPEN_BINS = 2048
 SEPARATOR = 0
+#: Open bins whose pieces one task packs anew.
+REPACKED_BINS = 16384
 
 
 def default_tokenizer() -> str:
@@ -140,17 +142,21 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, open_bins: int =
 
     packed = staged(docs.select(key, text).mapInArrow(first, schema), "packing")
 
+    names = [key, "piece", "start", "length", "ids_crc32"]
+
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Packs what was left open, the fullest first, into new bins."""
+        """Packs the pieces of bins that stayed open anew, the longest first."""
         bins = Bins(length, 1 << 62, (1 << 62) | (_partition() << 40))
         for b in batches:
-            places = [bins.place(n) for n in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([p[0] for p in places], pa.int64()), pa.array([p[1] for p in places], pa.int64())], ["bin", "new", "shift"])
-
-    left = packed.where("open").select("bin", F.col("length").alias("used"))
-    parts = max(1, left.count() >> 16)
-    moved = staged(left.repartition(parts).sortWithinPartitions(F.desc("used"), "bin").mapInArrow(again, "bin long, new long, shift long"), "bins")
-    return packed.where("not open").join(moved, "bin", "left").select(key, "piece", "start", "length", "ids_crc32", F.coalesce("new", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
+            places = [bins.place(n) for n in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([p[0] for p in places], pa.int64()), pa.array([p[1] for p in places], pa.int64())], [*names, "sequence_id", "offset"])
+
+    left = packed.where("open").select("bin")
+    parts = max(1, left.count() // REPACKED_BINS)
+    pieces = packed.where("not open")
+    closed = pieces.join(left, "bin", "left_anti").select(*names, F.col("bin").alias("sequence_id"), "offset")
+    rest = pieces.join(left, "bin", "left_semi").repartition(parts, "bin").select(*names).sortWithinPartitions(F.desc("length"), key, "start")
+    return closed.unionByName(rest.mapInArrow(again, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
