@@ -208,8 +208,12 @@ def shared_anchors(docs: DataFrame, parts: int, hot: int) -> DataFrame:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             texts = _encoded(b.column(1))
-            first: dict[bytes, int] = {}
-            once = [first.setdefault(t, i) == i for i, t in enumerate(texts)]  # copies have nothing to add
+            # Of equal texts the smallest id offers: the others can't be the copy that stays.
+            least: dict[bytes, int] = {}
+            for i, t in enumerate(texts):
+                if ids[i] < ids[least.setdefault(t, i)]:
+                    least[t] = i
+            once = [least[t] == i for i, t in enumerate(texts)]
             for a in anchors([t if ok else b"" for t, ok in zip(texts, once, strict=True)]):
                 held.append((ids[a.row], a.key))
                 n += len(a.key)

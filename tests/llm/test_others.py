@@ -66,6 +66,16 @@ def test_repeats(spark, seed, hot):
     assert removed(spark, docs, hot=hot) == brute_repeats(docs)
 
 
+@pytest.mark.parametrize("seed", [4, 5])
+def test_repeats_of_copies_in_any_order(spark, seed):
+    docs = repeat_corpus(seed)
+    docs += [(1000 + d, t) for d, t in docs[:30]]
+    # Larger ids first, so a copy that goes stands before the one that stays, in one batch.
+    for rows in (docs[::-1], random.Random(seed).sample(docs, len(docs))):
+        got = ri.remove_repeats(table(spark, rows).coalesce(1)).collect()
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_repeats(docs)
+
+
 def test_repeats_in_pieces(spark, monkeypatch):
     docs = repeat_corpus(3)
     want = brute_repeats(docs)
