@@ -1,0 +1,117 @@
+"""Near copies: pairs of texts whose sets of word shingles have a Jaccard similarity of
+``least`` or more, and the components of such pairs.
+
+Candidates come from MinHash: two texts meet if one of ``BANDS`` bands of ``ROWS`` values is
+equal, which a pair at 0.8 misses with a chance of 2e-6, and a closer one more rarely. Every
+candidate is verified on its shingles, so links are exact. In a band's bucket all members are
+compared with one of them first; what is not in one component then is compared pair by pair.
+
+Equal texts are one node, named by a 64-bit hash of the text. A text of fewer words than a
+shingle is one shingle; words are those of op5.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import staged, text_or_empty
+from .components import components
+from .repeat_index import _mixed
+
+SHINGLE = 5
+LEAST = 0.8
+BANDS, ROWS = 25, 4
+SEED = 42
+
+_U = np.uint64
+_FLIPS, _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS, 1), _U)
+_FACTORS |= _U(1)
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> set[bytes]:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return {joined}
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    begins = ends - sizes
+    return {joined[a:b] for a, b in zip(begins[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)}
+
+
+def bands(found: set[bytes]) -> np.ndarray:
+    """What a text's buckets are called, one for each band."""
+    from xxhash import xxh64_intdigest
+
+    hashes = np.array([xxh64_intdigest(s, SEED) for s in found], _U)
+    least = np.full(BANDS * ROWS, np.iinfo(_U).max, _U)
+    for at in range(0, len(hashes), 1 << 12):
+        least = np.minimum(least, ((hashes[None, at : at + (1 << 12)] ^ _FLIPS) * _FACTORS).min(axis=1))
+    key = _mixed(np.arange(1, BANDS + 1, dtype=_U))
+    for values in least.reshape(BANDS, ROWS).T:
+        key = _mixed(key ^ values)
+    return key.view(np.int64)
+
+
+def node_of(text: str = "text") -> Column:
+    return F.xxhash64(text_or_empty(text))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes that are similar enough."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, set()
+        for batch in batches:
+            hit = []
+            for a, s, t in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
+                if a != last:
+                    last, x = a, shingles(s.as_py(), shingle)
+                y = shingles(t.as_py(), shingle)
+                common = len(x & y)
+                hit.append(common >= least * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    return staged(both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "similar")
+
+
+def near_copies(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """(node, component) of every text that is similar to another one."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, keys = [], [np.zeros(0, np.int64)]
+            for t in b.column(1):
+                found = shingles(t.as_py(), shingle)
+                n.append(len(found))
+                keys.append(bands(found))
+            offsets = pa.array(np.arange(len(n) + 1) * BANDS, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys)))], ["node", "n", "bands"])
+
+    rows = docs.select(node_of(text).alias("node"), F.col(text).alias("text"))
+    signed = staged(rows.mapInArrow(sign, "node long, n int, bands array<long>").distinct(), "bands")
+    dealt = signed.select(F.explode("bands").alias("key"), "node", "n")
+    # One member of each bucket, another one in each band.
+    heads = dealt.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(F.col("key"))).alias("head"), F.count("*").alias("size"))
+    heads = staged(heads.where("size > 1").select("key", F.col("head").bitwiseXOR(F.col("key")).alias("head")), "heads")
+    members = staged(dealt.join(heads, "key"), "members")
+    texts = staged(rows.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    first = staged(members.where("node <> head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "pairs")
+    links = _verified(first, texts, shingle, least)
+    found = staged(components(links), "linked")
+
+    named = members.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    apart = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    rest = staged(named.join(apart, "key"), "apart")
+    x, y = (rest.select("key", *(F.col(c).alias(f"{c}{i}") for c in ("node", "n", "component"))) for i in (1, 2))
+    # Sets of too different sizes can't be similar enough.
+    other = x.join(y, "key").where((F.col("node1") < F.col("node2")) & (F.col("component1") != F.col("component2")) & (F.least("n1", "n2") >= least * F.greatest("n1", "n2")))
+    other = other.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    more = _verified(staged(other, "pairs"), texts, shingle, least)
+    return found if more.isEmpty() else components(links.unionByName(more))

@@ -403,3 +403,49 @@ def test_pipeline(spark, sf):
     assert kept["near_duplicates"] < kept["language_id"] and kept["pii"] == kept["near_duplicates"]
     assert cp.STAGES[-1][1](spark, docs, sf).count() > 0
     assert len(cp.STAGES) == 5 and cp.ORACLE_SQL is None
+
+
+def brute_kept(docs):
+    """Ids that stay: the smallest of each component of similarity 0.8 on five words."""
+    def five(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets, parent = [five(t) for _, t in docs], list(range(len(docs)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)), key=lambda k: docs[k][0])
+                parent[b] = a
+    return sorted(docs[k][0] for k in {find(i) for i in range(len(docs))})
+
+
+def near_corpus(seed):
+    """Texts and changed copies of them, on both sides of the limit."""
+    r = random.Random(seed)
+    out = []
+    for _ in range(25):
+        base = [f"w{r.randrange(500)}" for _ in range(r.randint(60, 200))]
+        for _ in range(r.randint(1, 8)):
+            words = list(base)
+            for _ in range(r.randint(0, len(words) // 25)):
+                words[r.randrange(len(words))] = f"w{r.randrange(500)}"
+            out.append(" ".join(words))
+    out += [out[3], out[9].upper(), "two words", "two words"]
+    r.shuffle(out)
+    return list(enumerate(out, 1))
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_pipeline_drops_near_copies(spark, seed):
+    import corpus_pipeline as cp
+
+    docs = near_corpus(seed)
+    got = cp.drop_near_duplicates(spark, table(spark, docs), None)
+    assert sorted(r["doc_id"] for r in got.collect()) == brute_kept(docs)
