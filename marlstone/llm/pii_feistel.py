@@ -193,6 +193,48 @@ def _iban(token: Column, key: str) -> Column:
     return F.when((_mod97(F.concat(body, F.substr(plain, F.lit(1), F.lit(4)))) == 1) & (F.length(plain) >= 15), _refilled(token, whole))
 
 
+#: Groups of capitals and digits in a row, in which cards and account numbers can stand.
+_CHAIN = r"(?:(?<![A-Za-z0-9_])[A-Z]{2}\d{2}[A-Z0-9]*+|(?<![A-Za-z0-9_+-])\d++)(?![A-Za-z0-9_])(?:[ -][A-Z0-9]++(?![A-Za-z0-9_]))++"
+_LONG = r"[0-9](?:[ -]?[A-Z0-9]){12}"
+#: How card numbers are grouped.
+_CARD_GROUPS = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{4}\2\d{4}\2\d|\d{4}([ -])\d{6}\3\d{4,5})$"
+_MOST_GROUPS = 9
+
+
+def _is_number(s: Column) -> Column:
+    """A valid card number in its usual groups, or a valid account number."""
+    plain = F.replace(s, F.lit(" "), F.lit(""))
+    account = F.when(s.rlike(f"^(?:{PATTERNS['iban']})$"), (_mod97(F.concat(F.substr(plain, F.lit(5)), F.substr(plain, F.lit(1), F.lit(4)))) == 1) & (F.length(plain) >= 15))
+    return F.when(s.rlike(_CARD_GROUPS), bound(_digits(s), lambda d: _luhn(d) == 0)).otherwise(F.coalesce(account, F.lit(False)))
+
+
+def _segments(t: Column) -> Column:
+    """The text in pieces: valid numbers that have other groups beside them stand alone. From
+    each group on, the longest valid number counts."""
+    gaps = F.split(t, _CHAIN, -1)
+    state = lambda done, open_, skip: F.struct(done.alias("done"), open_.alias("open"), skip.cast("int").alias("skip"))
+
+    def chain(s: Column, groups: Column) -> Column:
+        n = F.size(groups)
+
+        def step(s: Column, i: Column) -> Column:
+            span = lambda j: F.regexp_replace(F.array_join(F.slice(groups, i + 1, j - i + 1), ""), "^[ -]", "")
+            ends = F.filter(F.sequence(F.least(i + _MOST_GROUPS - 1, n - 1), i, F.lit(-1)), lambda j: _is_number(span(j)))
+            lead = F.regexp_extract(F.get(groups, i), "^[ -]?", 0)
+            cut = lambda j: F.when(j.isNull(), state(s["done"], F.concat(s["open"], F.get(groups, i)), F.lit(0))).otherwise(state(F.concat(s["done"], F.array(F.concat(s["open"], lead), span(j))), F.lit(""), j + 1))
+            return F.when(i < s["skip"], s).otherwise(bound(F.get(ends, F.lit(0)), cut))
+
+        return F.aggregate(F.sequence(F.lit(0), n - 1), s, step)
+
+    def walk(s: Column, x: Column) -> Column:
+        opened = state(s["done"], F.concat(s["open"], x["gap"]), F.lit(0))
+        return F.when(x["chain"].isNull(), opened).otherwise(chain(opened, F.regexp_extract_all(x["chain"], F.lit("[ -]?[A-Z0-9]+"), F.lit(0))))
+
+    none = F.array().cast("array<string>")
+    steps = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(t, F.lit(_CHAIN), F.lit(0)).alias("chain"))
+    return F.aggregate(steps, state(none, F.lit(""), F.lit(0)), walk, lambda s: F.concat(s["done"], F.array(s["open"])))
+
+
 def _email(token: Column, key: str) -> Column:
     name = F.lower(F.lpad(F.hex(_digest(key, F.lit("email"), F.lower(token))), 15, "0"))
     return F.concat(F.lit("user-"), name, F.lit("@pseudonym.invalid"))
@@ -216,12 +258,16 @@ def pseudonymise(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFra
     none = F.array().cast("array<string>")
     df = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("_row"), F.col(text).alias("_text"))
     t = F.col("_text")
-    found = F.when(t.rlike("[0-9@]"), F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0))).otherwise(none)
-    df = df.select("_row", "_text", found.alias("_found"))
-    df = sealed(df.select("_row", "_text", "_found", F.transform("_found", lambda m: pseudonym(m, key)).alias("_new"), F.when(F.size("_found") > 0, F.split(t, CANDIDATE, -1)).alias("_gaps")))
+    pieces = F.when(t.rlike(_LONG), _segments(t)).otherwise(F.array(t))
+    df = sealed(df.select("_row", "_text", F.when(t.rlike("[0-9@]"), pieces).alias("_parts")))
+    # An empty candidate after the last gap of each piece.
+    found = F.when(F.col("_parts").isNotNull(), F.flatten(F.transform("_parts", lambda s: F.concat(F.regexp_extract_all(s, F.lit(CANDIDATE), F.lit(0)), F.array(F.lit("")))))).otherwise(none)
+    df = df.select("_row", "_text", "_parts", found.alias("_found"))
+    some = F.size("_found") > F.size("_parts")
+    df = sealed(df.select("_row", "_text", "_found", F.when(some, F.transform("_found", lambda m: pseudonym(m, key))).alias("_new"), F.when(some, F.flatten(F.transform("_parts", lambda s: F.split(s, CANDIDATE, -1)))).alias("_gaps")))
     piece = lambda g, i: F.concat(g, F.coalesce(F.get(F.col("_new"), i)["value"], F.get(F.col("_found"), i), F.lit("")))
-    rewritten = F.when(F.size("_found") > 0, F.array_join(F.transform("_gaps", piece), "")).otherwise(t)
-    kinds = F.transform(F.filter("_new", lambda s: s["value"].isNotNull()), lambda s: s["kind"])
+    rewritten = F.when(F.col("_gaps").isNotNull(), F.array_join(F.transform("_gaps", piece), "")).otherwise(t)
+    kinds = F.coalesce(F.transform(F.filter("_new", lambda s: s["value"].isNotNull()), lambda s: s["kind"]), none)
     return df.select(*(rewritten.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns if c != "pii"), kinds.alias("pii"))
 
 

@@ -124,6 +124,20 @@ def test_invalid_values_stay(spark):
     assert rewritten(spark, "a", None)[1] is None
 
 
+def test_numbers_beside_other_groups(spark):
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    texts = [f"{card} 12/25", "4111111111111111 123", f"{iban} EUR", f"12 {card}", "4111-1111-1111-1111-123", f"{card} 12 5500 0000 0000 0004 7", f"{iban} DE89 3704 0044 0532 0130 00", f"{card} 10.0.0.1", "3782 822463 10005 1234 at +1 (017) 555-7713", card, iban]
+    out = rewritten(spark, *texts)
+    new_card, new_iban = out[-2:]
+    assert luhn(new_card) % 10 == 0 and card not in new_card and iban != new_iban
+    assert out[0] == f"{new_card} 12/25" and out[1] == new_card.replace(" ", "") + " 123" and out[2] == f"{new_iban} EUR"
+    assert out[3] == f"12 {new_card}" and out[4] == new_card.replace(" ", "-") + "-123"
+    assert out[5].startswith(f"{new_card} 12 ") and out[5].endswith(" 7") and "5500 0000" not in out[5]
+    assert out[6].startswith(f"{new_iban} DE") and "3704" not in out[6]
+    assert out[7].startswith(f"{new_card} ") and "10.0.0.1" not in out[7]
+    assert re.fullmatch(r"\d{4} \d{6} \d{5} 1234 at \+1 \(\d{3}\) \d{3}-\d{4}", out[8]) and "822463" not in out[8] and "7713" not in out[8]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3])
 def test_digits_are_permuted(spark, n):
     df = spark.range(10**n).select(F.lpad(F.col("id").cast("string"), n, "0").alias("d"))
