@@ -586,11 +586,10 @@ def echo_pairs(spark, sf):
 
 
 def _pairs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """A pair for each chunk of one compartment, as grounding is done by compartment: its
-    first sentence asked, its last one answered."""
+    """A pair for each chunk: its first sentence asked, its last one answered."""
     chunks = _chunks(spark, sf)
     sentences = F.split("text", r"(?<=[.!?])\s+")
-    made = chunks.where("compartment = 'src2'").select(F.col("id").alias("source_chunk"), "source", F.get(sentences, F.lit(0)).alias("prompt"), F.element_at(sentences, -1).alias("response"))
+    made = chunks.select(F.col("id").alias("source_chunk"), "source", F.get(sentences, F.lit(0)).alias("prompt"), F.element_at(sentences, -1).alias("response"))
     return made, chunks
 
 
@@ -604,6 +603,8 @@ def grounded_pairs(spark, sf):
 @query
 def hard_distractors(spark, sf):
     made, chunks = _pairs(spark, sf)
+    # The SQL twin ranks for the chunks of one compartment.
+    made = made.join(chunks.where("compartment = 'src2'").select(F.col("id").alias("source_chunk")), "source_chunk", "left_semi")
     return pairs.distractors(chunks, made.select(F.col("source_chunk").alias("id")).distinct(), 5)
 
 

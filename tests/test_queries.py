@@ -24,3 +24,11 @@ def test_entry_point():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_every_chunk_is_grounded(spark, sf):
+    from marlstone.plans import queries as q
+
+    chunks = {r["id"] for r in q._chunks(spark, sf).select("id").collect()}
+    rows = q.grounded_pairs(spark, sf).collect()
+    assert {r["source_chunk"] for r in rows} == chunks and len({r["compartment"] for r in rows}) > 1
