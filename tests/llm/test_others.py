@@ -449,3 +449,12 @@ def test_pipeline_drops_near_copies(spark, seed):
     docs = near_corpus(seed)
     got = cp.drop_near_duplicates(spark, table(spark, docs), None)
     assert sorted(r["doc_id"] for r in got.collect()) == brute_kept(docs)
+
+
+def test_pipeline_keeps_texts_with_null_or_reused_ids(spark):
+    import corpus_pipeline as cp
+
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(40)) for k in "abcd")
+    docs = [(None, a), (None, b), (None, b), (1, c), (1, d), (1, d), (2, d), (None, c + " more")]
+    got = cp.drop_near_duplicates(spark, table(spark, docs), None)
+    assert sorted((r["text"], r["doc_id"]) for r in got.collect()) == [(a, None), (b, None), (c, 1), (d, 1)]
