@@ -15,6 +15,7 @@ tokens go through the tokenizer proper, so that ids are the same in every case.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -29,6 +30,7 @@ from .common import documents, staged
 LENGTH = 2048
 OPEN_BINS = 2048
 SEPARATOR = 0
+_LONG_SPACE = re.compile(r"\s{512}")
 #: Open bins whose pieces one task packs anew.
 REPACKED_BINS = 16384
 
@@ -57,7 +59,8 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     slow = Tokenizer.from_file(path)
 
     def encode(text: str) -> list[int]:
-        if any(s in text for s in special):
+        # The fast library's patterns recurse over white space, too deep in a long run of it.
+        if any(s in text for s in special) or _LONG_SPACE.search(text):
             return slow.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 

@@ -2,8 +2,9 @@
 shunting-yard parser evaluates the and / or / with expressions that follow a tag.
 
 Phrases are matched on whole words of the lower-cased text (ASCII letters, digits and all
-characters above ASCII make words). A null text counts as empty; repeated rows give equal
-rows; columns other than the id and the text are left alone.
+characters above ASCII make words). A null text counts as empty, an empty table gives no
+rows; repeated rows give equal rows; a text of any length is read whole, in time linear in
+it; of the input's columns only the id and the text are read, so no name can clash.
 """
 
 from __future__ import annotations
@@ -46,51 +47,68 @@ _RANK = {"or": 1, "and": 2, "with": 3}
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128) else 32 for c in range(256))
 
 
+def _well_formed(tokens: list[str]) -> int:
+    """How many tokens the longest well-formed beginning has."""
+    depth = best = 0
+    operand = True  # an operand or an opening bracket may come next
+    for i, t in enumerate(tokens, 1):
+        if (t == "(" or t not in _RANK and t != ")") != operand:
+            break
+        if t == "(":
+            depth += 1
+        elif t == ")":
+            if not depth:
+                break
+            depth -= 1
+        else:
+            operand = t in _RANK
+        if not operand and not depth:
+            best = i
+    return best
+
+
 def parse_expression(text: str) -> list[str] | None:
-    """Postfix form by a shunting yard, with the longest well-formed beginning of the text
+    """Postfix form by a shunting yard, of the longest well-formed beginning of the text
     (a tag is often followed by the end of a comment); None if there is none."""
-    tokens, best = [t.rstrip(".:-").lower() if t not in "()" else t for t in _TOKEN.findall(text)], None
+    tokens = [t.rstrip(".:-").lower() if t not in "()" else t for t in _TOKEN.findall(text)]
     out: list[str] = []
     ops: list[str] = []
-    operand = True  # an operand or an opening bracket may come next
-    for t in tokens:
+    for t in tokens[: _well_formed(tokens)]:
         if t == "(":
-            if not operand:
-                break
             ops.append(t)
         elif t == ")":
-            if operand or "(" not in ops:
-                break
             while (op := ops.pop()) != "(":
                 out.append(op)
         elif t in _RANK:
-            if operand:
-                break
             while ops and ops[-1] != "(" and _RANK[ops[-1]] >= _RANK[t]:
                 out.append(ops.pop())
             ops.append(t)
-            operand = True
-            continue
         else:
-            if not operand:
-                break
             out.append(t)
-            operand = False
-        if not operand and "(" not in ops:
-            best = out + ops[::-1]
-    return best
+    return out + ops[::-1] or None
 
 
 def identifiers(postfix: list[str]) -> list[str]:
     """Licence identifiers; what follows ``with`` is an exception and not one."""
-    stack: list[list[str]] = []
+    names: list[str] = []
+    stack: list[tuple[int, int]] = []  # the names of each operand, from and to
+    edge = [0] * (len(postfix) + 1)
     for t in postfix:
         if t in _RANK:
-            right, left = stack.pop(), stack.pop()
-            stack.append(left if t == "with" else left + right)
+            (a, b), (first, _) = stack.pop(), stack.pop()
+            if t == "with":
+                edge[a] += 1
+                edge[b] -= 1
+            stack.append((first, b))
         else:
-            stack.append([t])
-    return stack[0]
+            stack.append((len(names), len(names) + 1))
+            names.append(t)
+    inside, out = 0, []
+    for name, step in zip(names, edge, strict=False):
+        inside += step
+        if not inside:
+            out.append(name)
+    return out
 
 
 def permitted(postfix: list[str], allowed: frozenset[str] = PERMITTED) -> bool:

@@ -7,8 +7,10 @@ values (two residues of moduli whose product is the size of the set), so the map
 one, no cycle walking is needed, and equal values stay linked across documents. Mail
 addresses, which have no finite format, get a keyed name.
 
-All of it is built-in expressions. A null text stays null, a text without candidates is
-returned as it is; repeated rows are treated alike, extra columns are carried along.
+All of it is built-in expressions. A null text stays null, a text without candidates (an
+empty one too) is returned as it is, and so is an empty table; texts of any length go through
+whole, as no pattern steps back over what a loop has taken. Repeated rows are treated alike,
+extra columns are carried along, except one named ``pii``, which is replaced.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ _NOT_IN_WORD = r"(?<![A-Za-z0-9_])"
 _WORD_ENDS = r"(?![A-Za-z0-9_])"
 #: In order of preference where two could start at one place.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "iban": _NOT_IN_WORD + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _WORD_ENDS,
     "ip": r"(?<![A-Za-z0-9_.])\d{1,3}(?:\.\d{1,3}){3}(?![A-Za-z0-9_]|\.\d)",
     "date": r"(?<![A-Za-z0-9_./-])(?:\d{4}([-/.])\d{1,2}\1\d{1,2}|\d{1,2}([-/.])\d{1,2}\2\d{4})(?![A-Za-z0-9_]|[./-]\d)",
@@ -114,9 +116,33 @@ def _card(token: Column, key: str) -> Column:
     return bound(_digits(token), lambda digits: F.when(_luhn(digits) == 0, _refilled(token, new(digits))))
 
 
+#: Lengths of the countries' calling codes, by their first digits.
+_CALLING_CODE = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: North American numbers: neither the area nor the exchange begins with 0 or 1.
+_NORTH_AMERICAN = r"^[2-9]\d{2}[2-9]\d{6}$"
+
+
 def _phone(token: Column, key: str) -> Column:
-    kept = F.when(token.startswith("+"), F.lit(1)).otherwise(F.lit(0))
-    return bound(_digits(token), lambda digits: _refilled(token, F.concat(F.substr(digits, F.lit(1), kept), bound(F.substr(digits, kept + 1), lambda d: permuted_digits(d, key, "phone")))))
+    """The country's code stays. A national number of North American form goes to another
+    one; without a country's code or brackets only that form counts as a phone number."""
+    code = F.regexp_extract(F.concat(F.regexp_extract(token, "^[+]?", 0), _digits(token)), _CALLING_CODE, 0)
+    bare = ~F.substr(token, F.lit(1), F.lit(1)).isin("+", "(")
+
+    def north(d: Column) -> Column:
+        part = lambda at, n: F.substr(d, F.lit(at), F.lit(n)).try_cast("long")
+        pair = feistel(part(1, 3) - 200, (part(4, 3) - 200) * 10000 + part(7, 4), F.lit(800), F.lit(8_000_000), key, F.lit("phone-north"))
+        pad = lambda x, n: F.lpad(x.cast("long").cast("string"), n, "0")
+        return bound(pair, lambda x: F.concat(pad(x["l"] + 200, 3), pad(F.floor(x["r"] / 10000) + 200, 3), pad(x["r"] % 10000, 4)))
+
+    def national(d: Column) -> Column:
+        return F.when(d.rlike(_NORTH_AMERICAN), north(d)).when(~bare, permuted_digits(d, key, "phone"))
+
+    def whole(c: Column) -> Column:
+        kept = F.regexp_replace(c, "[+]", "")
+        new = bound(F.substr(_digits(token), F.length(kept) + 1), national)
+        return bound(new, lambda d: F.when(d.isNotNull(), _refilled(token, F.concat(kept, d))))
+
+    return bound(code, whole)
 
 
 def _ip(token: Column, key: str) -> Column:
