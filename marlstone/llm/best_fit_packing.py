@@ -2,14 +2,17 @@
 
 Bounded-space online best fit: each task keeps at most ``open_bins`` bins, found by a bitset
 keyed by free space; a piece goes to the open bin that it fills best, and when there is no
-room the fullest open bin closes first. What is in bins that a task leaves open is packed
-once more, the longest pieces first, so that the number of tasks costs no space.
+room the fullest open bin closes first. What is in bins that a task leaves open at its end
+goes through the same packer once more, the longest pieces first, in tasks that get as many
+such bins as they may hold open, so that the number of tasks costs little space.
 
 Only documents longer than a sequence are cut, so that all pieces but the first are full.
-A null text is the empty text, whose ids are the separator alone. Repeated rows are packed
-one by one. Columns other than the id and the text are left alone. Tokenising is done by
-the byte-pair ranks that the tokenizer file itself holds; texts with one of its special
-tokens go through the tokenizer proper, so that ids are the same in every case.
+A null text is the empty text, whose ids are the separator alone; texts of any length are
+read whole; an empty table gives no pieces. Repeated rows are packed one by one. Of the
+input only the id and the text are read, so no name can clash. Tokenising is done by the
+byte-pair ranks that the tokenizer file itself holds; texts with one of its special tokens,
+or with very long white space, go through the tokenizer proper, so that ids are the same in
+every case.
 """
 
 from __future__ import annotations
@@ -31,8 +34,6 @@ LENGTH = 2048
 OPEN_BINS = 2048
 SEPARATOR = 0
 _LONG_SPACE = re.compile(r"\s{512}")
-#: Open bins whose pieces one task packs anew.
-REPACKED_BINS = 16384
 
 
 def default_tokenizer() -> str:
@@ -149,13 +150,13 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, open_bins: int =
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Packs the pieces of bins that stayed open anew, the longest first."""
-        bins = Bins(length, 1 << 62, (1 << 62) | (_partition() << 40))
+        bins = Bins(length, open_bins, (1 << 62) | (_partition() << 40))
         for b in batches:
             places = [bins.place(n) for n in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([p[0] for p in places], pa.int64()), pa.array([p[1] for p in places], pa.int64())], [*names, "sequence_id", "offset"])
 
     left = packed.where("open").select("bin")
-    parts = max(1, left.count() // REPACKED_BINS)
+    parts = -(-left.count() // open_bins) or 1
     pieces = packed.where("not open")
     closed = pieces.join(left, "bin", "left_anti").select(*names, F.col("bin").alias("sequence_id"), "offset")
     rest = pieces.join(left, "bin", "left_semi").repartition(parts, "bin").select(*names).sortWithinPartitions(F.desc("length"), key, "start")

@@ -10,7 +10,8 @@ much more frequent in another one.
 Fitting reads at most ``per_language`` labelled documents of each language (those with the
 smallest hash of their id), whole texts; everything else runs over all rows. A null text
 and one without letters give ``und`` and 0, and so does everything if there is nothing to
-learn from. Repeated rows are predicted alike; other columns are left alone.
+learn from; an empty table gives no rows. Texts of any length are read whole. Repeated rows
+are predicted alike; other columns are carried along, but for those of the results' names.
 """
 
 from __future__ import annotations
@@ -167,7 +168,9 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     return build_filters({k: np.array(v, np.int64).view(np.uint64) for k, v in found.items()})
 
 
-def predict(texts: list[str | None], filters: Filters) -> tuple[list[str], list[float]]:
+def predict(texts: list[str | None], filters: Filters) -> tuple[list[str], list[float], list[float]]:
+    """Languages, their shares among the languages (the scores), and the share of a text's
+    n-grams that its language contains."""
     n_langs = len(filters.languages)
     hits, total, letters = np.zeros((len(texts), n_langs)), np.zeros(len(texts)), np.zeros(len(texts), bool)
     for codes, rows in _pieces(texts):
@@ -180,31 +183,33 @@ def predict(texts: list[str | None], filters: Filters) -> tuple[list[str], list[
                     has = (sets & np.uint64(1 << (i % 64))) != 0
                     hits[:, i] += np.bincount(own[has], minlength=len(texts))
     if not n_langs:
-        return ["und"] * len(texts), [0.0] * len(texts)
+        return ["und"] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     share = np.maximum(0, (hits / np.maximum(total, 1)[:, None] - filters.false_rate) / (1 - filters.false_rate))
     best, whole = share.argmax(axis=1), share.sum(axis=1)
     score = np.where(whole > 0, share.max(axis=1) / np.maximum(whole, 1e-300), 1 / n_langs)
-    return [filters.languages[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], np.where(letters, score, 0.0).tolist()
+    return [filters.languages[b] if ok else "und" for b, ok in zip(best, letters, strict=True)], np.where(letters, score, 0.0).tolist(), np.where(letters, share.max(axis=1), 0.0).tolist()
 
 
-def identify(docs: DataFrame, filters: Filters, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with two more columns; columns of these names are replaced."""
-    rest = [f for f in docs.schema.fields if f.name not in (pred, score)]
+def identify(docs: DataFrame, filters: Filters, text: str = "text", pred: str = "lang_pred", score: str = "score", known: str = "known_share") -> DataFrame:
+    """``docs`` with three more columns, the last one the share of a text's n-grams that the
+    predicted language contains; columns of these names are replaced."""
+    rest = [f for f in docs.schema.fields if f.name not in (pred, score, known)]
     names = [f.name for f in rest]
     shared = docs.sparkSession.sparkContext.broadcast(filters)  # 8 MB for every 64 languages
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + f", `{pred}` string, `{score}` double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + f", `{pred}` string, `{score}` double, `{known}` double"
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs, scores = predict(b.column(at).to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, pred, score])
+            langs, *numbers = predict(b.column(at).to_pylist(), shared.value)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), *(pa.array(n, pa.float64()) for n in numbers)], [*names, pred, score, known])
 
     return docs.select(*names).mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id") -> Column:
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1
+    """A row without an id is not held out."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def op4_language_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

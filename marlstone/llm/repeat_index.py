@@ -16,10 +16,12 @@ with a smaller id. Documents are taken as UTF-8 bytes, and no match crosses thei
 5. Marks go back to their documents, which are cut and hashed.
 
 Anchors of more than ``hot`` documents hand on single windows, dealt out by their own hash,
-so that no task gets all surroundings of a frequent passage. Memory of a task is bounded by
-its share of anchors and by ``SLAB`` bytes of index. A null text is empty. Repeated rows
-(same id, same text) don't remove each other and get equal results. A null id is never
-matched. Other columns are ignored.
+so that no task gets all surroundings of a frequent passage. Anchors are dealt out in parts
+whose number follows from the table's bytes, so memory of a task is bounded by PART_BYTES of
+text, by ``SLAB`` bytes of index, and by its longest text. A null text is empty, an empty
+table gives no rows. Rows of one id don't remove each other: repeated rows get equal results,
+different texts under one id are told apart by a hash. A null id is never matched. Other
+columns are ignored, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -49,8 +51,13 @@ SLAB = 2 << 20
 #: Documents with one anchor from which its windows are dealt out one by one: at least
 #: HOT_LEAST, and one in HOT_SHARE of all, so the list of such anchors stays short.
 HOT_LEAST, HOT_SHARE = 5000, 2000
-#: Parts of the anchor space for each shuffle partition.
+#: Such anchors are at most so many, whatever the length of texts.
+HOT_ANCHORS = 1_000_000
+#: Parts of the anchor space for each shuffle partition, at least, and bytes of text for each.
 PARTS = 4
+PART_BYTES = 16 << 20
+#: Ids with several texts up to which they are broadcast (8 MB).
+BROADCAST_IDS = 1_000_000
 
 _U = np.uint64
 
@@ -200,14 +207,14 @@ def _group_edges(*columns: np.ndarray) -> np.ndarray:
 
 
 def shared_anchors(docs: DataFrame, parts: int, hot: int) -> DataFrame:
-    """(doc, key, hot): anchors that another document has too; where ``hot``, an anchor of
+    """(doc, tag, key, hot): anchors that another document has too; where ``hot``, an anchor of
     more than that many documents, with no document."""
 
     def offer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn, held, n = 0, [], 0
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            texts = _encoded(b.column(1))
+            ids, tags = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            texts = _encoded(b.column(2))
             # Of equal texts the smallest id offers: the others can't be the copy that stays.
             least: dict[bytes, int] = {}
             for i, t in enumerate(texts):
@@ -215,7 +222,7 @@ def shared_anchors(docs: DataFrame, parts: int, hot: int) -> DataFrame:
                     least[t] = i
             once = [least[t] == i for i, t in enumerate(texts)]
             for a in anchors([t if ok else b"" for t, ok in zip(texts, once, strict=True)]):
-                held.append((ids[a.row], a.key))
+                held.append((ids[a.row], tags[a.row], a.key))
                 n += len(a.key)
                 if n >= GATHER:
                     yield from _offered(held, parts, turn)
@@ -224,56 +231,56 @@ def shared_anchors(docs: DataFrame, parts: int, hot: int) -> DataFrame:
             yield from _offered(held, parts, turn)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def table(doc: np.ndarray, key: np.ndarray, is_hot: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key), pa.array(np.full(len(doc), is_hot))], ["doc", "key", "hot"])
+        def table(doc: np.ndarray, tag: np.ndarray, key: np.ndarray, is_hot: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(tag), pa.array(key), pa.array(np.full(len(doc), is_hot))], ["doc", "tag", "key", "hot"])
 
         for part, blobs in _numbered(batches):
             items = []
             for blob in blobs:
                 arrays = _unpacked(blob)
-                if len(arrays) == 2:  # shared within one task: known already
-                    yield table(arrays[0], arrays[1], False)
+                if len(arrays) == 3:  # shared within one task: known already
+                    yield table(*arrays, False)
                 else:
                     items.append(arrays)
             if not items:
                 continue
-            low, doc, n = (np.concatenate(c) for c in zip(*items, strict=True))
+            low, doc, tag, n = (np.concatenate(c) for c in zip(*items, strict=True))
             order = np.argsort(low, kind="stable")
-            low, doc, n = low[order], doc[order], n[order].astype(np.int64)
+            low, doc, tag, n = low[order], doc[order], tag[order], n[order].astype(np.int64)
             edges = _group_edges(low)
             size = np.diff(np.r_[edges, len(low)])
             found = (np.minimum.reduceat(doc, edges) != np.maximum.reduceat(doc, edges)) | (np.maximum.reduceat(n, edges) > 1)
             total = np.add.reduceat(n, edges)
             tell = np.repeat(found, size) & (n == 1)
-            yield table(doc[tell], low[tell].astype(np.int64) | (part << 32), False)
+            yield table(doc[tell], tag[tell], low[tell].astype(np.int64) | (part << 32), False)
             many = edges[total > hot]
-            yield table(np.full(len(many), -1), low[many].astype(np.int64) | (part << 32), True)
+            yield table(np.full(len(many), -1), np.zeros(len(many), np.int64), low[many].astype(np.int64) | (part << 32), True)
 
-    found = docs.select("doc", "text").mapInArrow(offer, "part int, blob binary")
-    return staged(found.repartition("part").sortWithinPartitions("part").mapInArrow(answer, "doc long, key long, hot boolean"), "shared")
+    found = docs.select("doc", "tag", "text").mapInArrow(offer, "part int, blob binary")
+    return staged(found.repartition("part").sortWithinPartitions("part").mapInArrow(answer, "doc long, tag long, key long, hot boolean"), "shared")
 
 
-def _offered(held: list[tuple[np.ndarray, np.ndarray]], parts: int, turn: int) -> Iterator[pa.RecordBatch]:
+def _offered(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int, turn: int) -> Iterator[pa.RecordBatch]:
     """Anchors by part, one item for each with the number of documents here that have it;
     what two of them share is known at once and needs no answer."""
-    doc, key = (np.concatenate(x) for x in zip(*held, strict=True))
+    doc, tag, key = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.argsort(key, kind="stable")
-    doc, key = doc[order], key[order]
+    doc, tag, key = doc[order], tag[order], key[order]
     edges = _group_edges(key)
     several = np.repeat(np.diff(np.r_[edges, len(key)]) > 1, np.diff(np.r_[edges, len(key)]))
     # One row for a document's anchor; few anchors come twice, so only those are sorted.
     twice = np.nonzero(several)[0]
-    twice = twice[np.lexsort((doc[twice], key[twice]))]
+    twice = twice[np.lexsort((tag[twice], doc[twice], key[twice]))]
     again = np.zeros(len(twice), bool)
-    again[1:] = (key[twice][1:] == key[twice][:-1]) & (doc[twice][1:] == doc[twice][:-1])
+    again[1:] = (key[twice][1:] == key[twice][:-1]) & (doc[twice][1:] == doc[twice][:-1]) & (tag[twice][1:] == tag[twice][:-1])
     keep = np.ones(len(key), bool)
     keep[twice[again]] = False
-    doc, key = doc[keep], key[keep]
+    doc, tag, key = doc[keep], tag[keep], key[keep]
     edges = _group_edges(key)
     count = np.diff(np.r_[edges, len(key)])
     reply = np.repeat(count > 1, count)
-    known = doc[reply], _short(key[reply], parts)
-    one, key = doc[edges], key[edges]
+    known = doc[reply], tag[reply], _short(key[reply], parts)
+    one, tag, key = doc[edges], tag[edges], key[edges]
     part = _part(key, parts)  # in order, as keys are
     cuts = np.searchsorted(part, np.arange(parts + 1))
     low, count = (key & _U(0xFFFFFFFF)).astype(np.uint32), count.astype(np.uint32)
@@ -281,9 +288,9 @@ def _offered(held: list[tuple[np.ndarray, np.ndarray]], parts: int, turn: int) -
     for p in np.nonzero(np.diff(cuts))[0].tolist():
         at = slice(cuts[p], cuts[p + 1])
         by = np.argsort(one[at], kind="stable")
-        rows.append((p, _packed(low[at][by], one[at][by], count[at][by])))
+        rows.append((p, _packed(low[at][by], one[at][by], tag[at][by], count[at][by])))
     for at in range(0, len(known[0]), 1 << 18):
-        rows.append(((turn * 7 + at) % parts, _packed(known[0][at : at + (1 << 18)], known[1][at : at + (1 << 18)])))
+        rows.append(((turn * 7 + at) % parts, _packed(*(x[at : at + (1 << 18)] for x in known))))
     if rows:
         yield _blobs(rows)
 
@@ -444,18 +451,18 @@ class RunIndex:
 
 
 def repeat_marks(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
-    """(doc, start, mask): bit j marks the window from start + j on. ``docs`` has (doc, text,
-    keys), keys being the short names of the document's shared anchors."""
+    """(doc, tag, start, mask): bit j marks the window from start + j on. ``docs`` has (doc, tag,
+    text, keys), keys being the short names of the document's shared anchors."""
     shared_hot = docs.sparkSession.sparkContext.broadcast(np.sort(hot))
 
     def hand_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            wanted, offsets = b.column(2).flatten().to_numpy(zero_copy_only=False), b.column(2).offsets.to_numpy()
+            ids, tags = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            wanted, offsets = b.column(3).flatten().to_numpy(zero_copy_only=False), b.column(3).offsets.to_numpy()
             offsets = offsets - offsets[0]
             want = np.sort(_pair(np.repeat(np.arange(len(ids)), np.diff(offsets)), wanted))
-            for a in anchors(_encoded(b.column(1))):
+            for a in anchors(_encoded(b.column(2))):
                 name = _short(a.key, parts)
                 pair = _pair(a.row, name)
                 keep = want[np.minimum(np.searchsorted(want, pair), len(want) - 1)] == pair if len(want) else np.zeros(len(pair), bool)
@@ -476,7 +483,7 @@ def repeat_marks(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
                     place = np.minimum(at[r][:, None] + np.arange(AROUND)[None, :], len(a.bytes) - 1)
                     around = a.bytes[place]
                     around[np.arange(AROUND)[None, :] >= size[:, None]] = 0
-                    held.append((around, size, key[r], ids[row[r]], start[r]))
+                    held.append((around, size, key[r], ids[row[r]], tags[row[r]], start[r]))
                     total += len(size)
                     if total >= GATHER_AROUND:
                         yield _blobs(list(_parts_of(*(np.concatenate(x) for x in zip(*held, strict=True)), parts)))
@@ -488,8 +495,8 @@ def repeat_marks(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
         for blobs in _by_part(batches):
             yield from _decided(blobs)
 
-    blobs = docs.select("doc", "text", "keys").mapInArrow(hand_on, "part int, blob binary")
-    return staged(blobs.repartition("part").sortWithinPartitions("part").mapInArrow(decide, "doc long, start int, mask int"), "marks")
+    blobs = docs.select("doc", "tag", "text", "keys").mapInArrow(hand_on, "part int, blob binary")
+    return staged(blobs.repartition("part").sortWithinPartitions("part").mapInArrow(decide, "doc long, tag long, start int, mask int"), "marks")
 
 
 def _pair(row: np.ndarray, name: np.ndarray) -> np.ndarray:
@@ -497,27 +504,28 @@ def _pair(row: np.ndarray, name: np.ndarray) -> np.ndarray:
     return _mixed(_mixed(row.astype(np.int64).view(_U) + _U(1)) ^ name.view(_U))
 
 
-def _parts_of(around: np.ndarray, size: np.ndarray, key: np.ndarray, doc: np.ndarray, start: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+def _parts_of(around: np.ndarray, size: np.ndarray, key: np.ndarray, doc: np.ndarray, tag: np.ndarray, start: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
     first, number = _distinct(around, size, key)
     for part, rows in _slices(_part(key, parts)):
         used, local = np.unique(number[rows], return_inverse=True)
         f = first[used]
-        yield part, _packed(key[f], size[f].astype(np.uint8), around[f].reshape(-1), local.astype(np.uint32), doc[rows], start[rows].astype(np.uint32))
+        yield part, _packed(key[f], size[f].astype(np.uint8), around[f].reshape(-1), local.astype(np.uint32), doc[rows], tag[rows], start[rows].astype(np.uint32))
 
 
 def _decided(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     """Marks of all documents that have an anchor of this part."""
-    keys, sizes, arounds, locals_, docs, starts, n = [], [], [], [], [], [], 0
+    keys, sizes, arounds, locals_, docs, tags, starts, n = [], [], [], [], [], [], [], 0
     for blob in blobs:
-        key, size, around, local, doc, start = _unpacked(blob)
+        key, size, around, local, doc, tag, start = _unpacked(blob)
         keys.append(key)
         sizes.append(size.astype(np.int64))
         arounds.append(around.reshape(-1, AROUND))
         locals_.append(local.astype(np.int64) + n)
         docs.append(doc)
+        tags.append(tag)
         starts.append(start.astype(np.int64))
         n += len(key)
-    key, size, around, local, doc, start = (np.concatenate(x) for x in (keys, sizes, arounds, locals_, docs, starts))
+    key, size, around, local, doc, tag, start = (np.concatenate(x) for x in (keys, sizes, arounds, locals_, docs, tags, starts))
     first, number = _distinct(np.ascontiguousarray(around), size, key)
     key, size, around, which = key[first], size[first], around[first], number[local]
     least = np.full(len(first), np.iinfo(np.int64).max)
@@ -549,7 +557,7 @@ def _decided(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     full = (np.int64(1) << (size - LENGTH + 1)) - 1
     mask = np.where(doc > least[which], full[which], partial[which])
     ok = mask != 0
-    yield pa.RecordBatch.from_arrays([pa.array(doc[ok]), pa.array(start[ok].astype(np.int32)), pa.array(mask[ok].astype(np.int32))], ["doc", "start", "mask"])
+    yield pa.RecordBatch.from_arrays([pa.array(doc[ok]), pa.array(tag[ok]), pa.array(start[ok].astype(np.int32)), pa.array(mask[ok].astype(np.int32))], ["doc", "tag", "start", "mask"])
 
 
 def cut(text: bytes, starts: np.ndarray, masks: np.ndarray, whole: bool) -> tuple[int, int, bytes]:
@@ -571,21 +579,32 @@ def cut(text: bytes, starts: np.ndarray, masks: np.ndarray, whole: bool) -> tupl
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", hot: int | None = None) -> DataFrame:
     """(key, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row of ``docs``."""
     spark = docs.sparkSession
-    parts = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("doc"), text_or_empty(text).alias("text"))
-    address = rows.where("doc is not null").select("doc", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha"))
-    least = address.groupBy("sha").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("n"))
+    sha = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+    slim = rows.where("doc is not null").select("doc", sha.alias("sha"), F.octet_length("text").cast("long").alias("size"))
+    # An id with several texts, which is rare: those get a tag, all others zero.
+    by_id = slim.groupBy("doc").agg(F.min("sha").alias("a"), F.max("sha").alias("b"), F.count("*").alias("n"), F.sum("size").alias("size"))
+    by_id = staged(by_id.select("doc", (F.col("a") < F.col("b")).alias("several"), "n", "size"), "ids")
+    several = by_id.where("several").select("doc", F.lit(True).alias("several"))
+    total = by_id.agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.count_if("several").alias("several")).first()
+    several = F.broadcast(several) if total["several"] <= BROADCAST_IDS else several
+    tag = F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0).cast("long"))
+    rows = rows.join(several, "doc", "left").select("doc", tag.alias("tag"), "text")
+    parts = max(PARTS * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total["size"] or 0) // PART_BYTES))
+    if hot is None:
+        # An anchor stands for 16 windows on average; half of that is reckoned with.
+        hot = max(HOT_LEAST, (total["n"] or 0) // HOT_SHARE, (total["size"] or 0) // (8 * HOT_ANCHORS))
+    address = rows.where("doc is not null").select("doc", "tag", sha.alias("sha"))
+    least = address.groupBy("sha").agg(F.min("doc").alias("least"), F.max("doc").alias("most"))
     # Written, so that the join deals it out anew and may split a frequent text's rows.
     some = staged(least.where("least < most").select("sha", "least"), "copied")
-    copies = staged(address.join(some, "sha").where("doc > least").select("doc").distinct(), "copies")
-    if hot is None:
-        hot = max(HOT_LEAST, rows.count() // HOT_SHARE)
+    copies = staged(address.join(some, "sha").where("doc > least").select("doc", "tag").distinct(), "copies")
     shared = shared_anchors(rows.where("doc is not null"), parts, hot)
     frequent = shared.where("hot").select("key").distinct().toPandas()["key"].to_numpy(np.int64)
-    named = shared.where("not hot").join(copies, "doc", "left_anti").groupBy("doc").agg(F.collect_list("key").alias("keys"))
-    marks = repeat_marks(rows.join(named, "doc"), parts, frequent)
-    per_doc = marks.groupBy("doc").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks"))
-    both = per_doc.join(copies.withColumn("whole", F.lit(True)), "doc", "full").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    named = shared.where("not hot").join(copies, ["doc", "tag"], "left_anti").groupBy("doc", "tag").agg(F.collect_list("key").alias("keys"))
+    marks = repeat_marks(rows.join(named, ["doc", "tag"]), parts, frequent)
+    per_doc = marks.groupBy("doc", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("mask").alias("masks"))
+    both = per_doc.join(copies.withColumn("whole", F.lit(True)), ["doc", "tag"], "full").withColumn("whole", F.coalesce("whole", F.lit(False)))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
@@ -598,7 +617,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", hot
             columns = list(zip(*out, strict=True)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string()), pa.array(columns[4], pa.binary())], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = rows.join(both, "doc", "left").select("doc", "text", "starts", "masks", "whole")
+    joined = rows.join(both, ["doc", "tag"], "left").select("doc", "text", "starts", "masks", "whole")
     out = joined.mapInArrow(finish, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumnRenamed("doc", key)
 

@@ -11,7 +11,8 @@ in proportion. Every fingerprint is probed and every candidate verified: links a
 Equal fingerprints are one node from the start, so copies are never paired. A bucket gives a
 spanning forest of its links instead of all pairs; one beyond ``hot`` members is dealt out
 anew in pairs of blocks. A null or blank text has the fingerprint zero and links like any
-other. Repeated rows share a component; columns other than the id and the text are ignored.
+other; texts of any length count whole; an empty table gives no rows. Repeated rows share a
+component; columns other than the id and the text are ignored, so no name can clash.
 """
 
 from __future__ import annotations
@@ -21,15 +22,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, staged
+from .common import documents, staged, text_or_empty
 from .components import components
 
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
+#: For near copies by the similarity of their sets of shingles.
+WIDE_SHINGLE, WIDE_DISTANCE, SIMILARITY = 5, 11, 0.8
+#: Independent fingerprints, of which one must be close for a pair to be compared.
+FINGERPRINTS = 3
+_FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, FINGERPRINTS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Fingerprints that candidate counts are estimated on, at most.
 SAMPLE = 4096
 #: What one candidate costs in units of one row of the index.
@@ -38,24 +44,39 @@ PAIR_COST = 0.02
 HOT = 4096
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    from xxhash import xxh64_intdigest
-
+def shingles(text: str | None, shingle: int = SHINGLE) -> list[bytes]:
+    """Repeats included; a text of fewer words is one shingle, one without words has none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxh64_intdigest(joined, SEED)]
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        begins = ends - sizes
-        hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(begins[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    values, ones = np.array(hashes, "<u8"), np.zeros(64, np.int64)
-    for at in range(0, len(values), 1 << 16):
-        ones += np.unpackbits(values[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * ones > len(values)).astype(np.uint8), bitorder="little").view("<u8")[0])
+        return [joined] if words else []
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    begins = ends - sizes
+    return [joined[a:b] for a, b in zip(begins[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return _fingerprints(shingles(text, shingle), 1)[0]
+
+
+def _fingerprints(parts: list[bytes], n: int) -> list[int]:
+    """n fingerprints: of the hashes, and of other hashes made from them."""
+    from xxhash import xxh64_intdigest
+
+    if not parts:
+        return [0] * n
+    values, out = np.array([xxh64_intdigest(s, SEED) for s in parts], "<u8"), []
+    for i in range(n):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(values), 1 << 16):
+            some = values[at : at + (1 << 16)]
+            if i:
+                some = (some ^ (some >> np.uint64(29 + i))) * _FACTORS[i - 1]
+                some = (some ^ (some >> np.uint64(32))) * _FACTORS[i - 1]
+            ones += np.unpackbits(some.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits((2 * ones > len(values)).astype(np.uint8), bitorder="little").view("<u8")[0]))
+    return out
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -152,7 +173,8 @@ def signatures(fp: np.ndarray, plan: Plan) -> Iterator[tuple[np.ndarray, np.ndar
 
 
 class Forest:
-    """Links in, spanning forest out: what it holds is at most one edge per node."""
+    """Links in, a spanning forest of the closest of them out: what it holds after shrinking is
+    at most one link per node."""
 
     def __init__(self) -> None:
         self.a, self.b, self.n = [], [], 0
@@ -166,23 +188,31 @@ class Forest:
                 self.shrink()
 
     def shrink(self) -> None:
+        """In every round each tree takes its closest link to another one."""
         if not self.n:
             return
         a, b = np.concatenate(self.a), np.concatenate(self.b)
+        order = np.argsort(np.bitwise_count(a ^ b), kind="stable")
+        a, b = a[order], b[order]
         nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
         x, y = index[: len(a)], index[len(a) :]
-        root = np.arange(len(nodes))
-        while True:
-            low = np.minimum(root[x], root[y])
-            before = root.copy()
-            np.minimum.at(root, before[x], low)
-            np.minimum.at(root, before[y], low)
-            while (root[root] != root).any():
-                root = root[root]
-            if (root == before).all():
-                break
-        child = np.nonzero(root != np.arange(len(nodes)))[0]
-        self.a, self.b, self.n = [nodes[child]], [nodes[root[child]]], len(child)
+        root, keep = np.arange(len(nodes)), np.zeros(len(a), bool)
+        while len(live := np.nonzero(root[x] != root[y])[0]):
+            first = np.full(len(nodes), len(a))
+            np.minimum.at(first, root[x[live]], live)
+            np.minimum.at(first, root[y[live]], live)
+            taken = np.unique(first[first < len(a)])
+            keep[taken] = True
+            while True:
+                before = root.copy()
+                low = np.minimum(root[x[taken]], root[y[taken]])
+                np.minimum.at(root, before[x[taken]], low)
+                np.minimum.at(root, before[y[taken]], low)
+                while (root[root] != root).any():
+                    root = root[root]
+                if (root == before).all():
+                    break
+        self.a, self.b, self.n = [a[keep]], [b[keep]], int(keep.sum())
 
 
 def _near(x: np.ndarray, y: np.ndarray, distance: int) -> np.ndarray:
@@ -289,20 +319,84 @@ def _hot_links(rows: DataFrame, distance: int, size: int) -> DataFrame:
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(verify, "a long, b long")
 
 
+def _linked(distinct: DataFrame, distance: int, hot: int) -> DataFrame:
+    """Links (a, b) of a staged table of distinct ``fp``, by the plan that suits its size."""
+    n = distinct.count()
+    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    return links(distinct, make_plan(sample, n, distance), distance, hot)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """(key, fp, component): a component is named by the smallest key in it."""
     all_rows = staged(fingerprints(docs, key, text, shingle), "fingerprints")
     distinct = staged(all_rows.groupBy("fp").agg(F.min(key).alias("first")), "distinct")
-    n = distinct.count()
-    sample = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    plan = make_plan(sample, n, distance)
-    members = components(links(distinct, plan, distance, hot)).withColumnRenamed("node", "fp")
+    members = components(_linked(distinct, distance, hot)).withColumnRenamed("node", "fp")
     linked = distinct.join(members, "fp", "left")
     named = linked.where("component is not null").groupBy("component").agg(F.min("first").alias("_name"))
     roots = linked.join(named, "component", "left").select("fp", F.coalesce("_name", "first").alias("component"))
     return all_rows.join(roots, "fp").select(key, "fp", "component")
 
 
+def node_of(text: str = "text") -> Column:
+    """What a text is called: null and the empty text are one."""
+    return F.xxhash64(text_or_empty(text))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets of shingles are similar enough."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, set()
+        for batch in batches:
+            hit = []
+            for a, s, t in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
+                if a != last:
+                    last, x = a, set(shingles(s.as_py(), shingle))
+                y = set(shingles(t.as_py(), shingle))
+                common = len(x & y)
+                hit.append(common >= least * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+    return staged(both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "similar")
+
+
+def similar_texts(docs: DataFrame, text: str = "text", distance: int = WIDE_DISTANCE, shingle: int = WIDE_SHINGLE, least: float = SIMILARITY, hot: int = HOT) -> DataFrame:
+    """(node, component) of every text that has a near copy: fingerprints propose pairs, of
+    which one of FINGERPRINTS is within ``distance`` bits, and sets of shingles decide, by a
+    Jaccard similarity of ``least``.
+
+    Every link is exact. What fingerprints propose is a spanning forest of the closest links,
+    so groups of any size give at most one pair per text and task; the share of similar pairs
+    that end up together is measured, not guaranteed (see the README).
+    """
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [shingles(t.as_py(), shingle) for t in b.column(1)]
+            fps = np.array([_fingerprints(p, FINGERPRINTS) for p in parts], np.uint64).reshape(-1, FINGERPRINTS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(set(p)) for p in parts], pa.int32()), *(pa.array(fps[:, i]) for i in range(FINGERPRINTS))], ["node", "n", *names])
+
+    names = [f"fp{i}" for i in range(FINGERPRINTS)]
+    rows = docs.select(node_of(text).alias("node"), F.col(text).alias("text"))
+    signed = staged(rows.mapInArrow(sign, "node long, n int, " + ", ".join(f"{c} long" for c in names)).distinct(), "signed")
+    close = None
+    for name in names:
+        one = signed.select(F.col(name).alias("fp"), "node", "n")
+        heads = staged(one.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("h")).select("fp", F.col("h.node").alias("node"), F.col("h.n").alias("n")), "heads")
+        same = one.select("fp", F.col("node").alias("b"), F.col("n").alias("m")).join(heads, "fp").where("node <> b").select(F.col("node").alias("a"), "b", "n", "m")
+        side = lambda fp, node, n, t=heads: t.select(F.col("fp").alias(fp), F.col("node").alias(node), F.col("n").alias(n))
+        far = _linked(heads, distance, hot).select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(side("fa", "a", "n"), "fa").join(side("fb", "b", "m"), "fb").select("a", "b", "n", "m")
+        # Sets of too different sizes can't be similar enough.
+        found = same.unionByName(far).where(F.least("n", "m") >= least * F.greatest("n", "m")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        found = staged(found.distinct(), "pairs")
+        close = found if close is None else close.unionByName(found)
+    pairs = staged(close.distinct(), "pairs")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = staged(rows.join(used, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    return components(_verified(pairs, texts, shingle, least))
+
+
 def op5_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))

@@ -23,7 +23,6 @@ columns are ignored, so their names can't clash.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_dir, staged, table
+from .common import staged, staged_path, table
 
 K = 5
 SCALE = 256
@@ -220,7 +219,7 @@ def _wave_top_k(candidates: DataFrame, wave: list[Block], k: int, path: str) ->
 def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) for (id, v) tables of integer-valued vectors."""
     spark = queries.sparkSession
-    path = f"{shared_dir(spark)}/staged/topk-{uuid.uuid4().hex}"
+    path = staged_path(spark, "topk")
     schema = "query_id long, rank int, vec_id long, score long"
     spark.createDataFrame([], schema).write.parquet(path)
     # One wave at a time comes to the driver, of bounded size, whatever the number of queries.
