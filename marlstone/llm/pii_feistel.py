@@ -234,31 +234,48 @@ def _is_number(s: Column) -> Column:
     return F.when(s.rlike(_CARD_GROUPS), bound(_digits(s), lambda d: _luhn(d) == 0)).otherwise(F.coalesce(account, F.lit(False)))
 
 
-def _segments(t: Column) -> Column:
-    """The text in pieces: valid numbers that have other groups beside them stand alone. From
-    each group on, the longest valid number counts."""
-    gaps = F.split(t, _CHAIN, -1)
-    state = lambda done, open_, skip: F.struct(done.alias("done"), open_.alias("open"), skip.cast("int").alias("skip"))
+#: Ends a piece; where a text has this character or the next, both are written otherwise.
+_CUT, _ESCAPE = "\uffff", "\ufffe"
+
 
-    def chain(s: Column, groups: Column) -> Column:
+def _marked(chain: Column) -> Column:
+    """A chain with its valid numbers set apart: from each group on, the longest counts. All
+    arrays are computed once, so the time is in proportion to the chain."""
+
+    def of(groups: Column) -> Column:
         n = F.size(groups)
+        at = F.sequence(F.lit(0), n - 1)
+        joined = lambda i, j: F.array_join(F.slice(groups, i + 1, j - i), "")
+        span = lambda i, j: F.regexp_replace(joined(i, j + 1), "^[ -]", "")
+        fits = lambda s: F.when(F.length(s) >= 13, _is_number(s)).otherwise(F.lit(False))
+        ends = F.transform(at, lambda i: F.coalesce(F.get(F.filter(F.sequence(F.least(i + _MOST_GROUPS - 1, n - 1), i, F.lit(-1)), lambda j: bound(span(i, j), fits)), F.lit(0)), F.lit(-1)))
 
-        def step(s: Column, i: Column) -> Column:
-            span = lambda j: F.regexp_replace(F.array_join(F.slice(groups, i + 1, j - i + 1), ""), "^[ -]", "")
-            ends = F.filter(F.sequence(F.least(i + _MOST_GROUPS - 1, n - 1), i, F.lit(-1)), lambda j: _is_number(span(j)))
-            lead = F.regexp_extract(F.get(groups, i), "^[ -]?", 0)
-            cut = lambda j: F.when(j.isNull(), state(s["done"], F.concat(s["open"], F.get(groups, i)), F.lit(0))).otherwise(state(F.concat(s["done"], F.array(F.concat(s["open"], lead), span(j))), F.lit(""), j + 1))
-            return F.when(i < s["skip"], s).otherwise(bound(F.get(ends, F.lit(0)), cut))
+        def cuts(end: Column) -> Column:
+            none = F.array().cast("array<struct<i:int,j:int>>")
+            start = F.struct(F.lit(0).alias("next"), none.alias("cuts"))
+            taken = lambda s, i: F.struct((F.get(end, i) + 1).alias("next"), F.concat(s["cuts"], F.array(F.struct(i.alias("i"), F.get(end, i).alias("j")))).alias("cuts"))
+            return F.aggregate(at, start, lambda s, i: F.when((i >= s["next"]) & (F.get(end, i) >= 0), taken(s, i)).otherwise(s))["cuts"]
 
-        return F.aggregate(F.sequence(F.lit(0), n - 1), s, step)
+        def text(found: Column) -> Column:
+            before = lambda k: F.when(k > 0, F.get(found, F.greatest(k - 1, F.lit(0)))["j"] + 1).otherwise(0)
+            lead = lambda c: F.regexp_extract(F.get(groups, c["i"]), "^[ -]?", 0)
+            each = F.transform(found, lambda c, k: F.concat(joined(before(k), c["i"]), lead(c), F.lit(_CUT), span(c["i"], c["j"]), F.lit(_CUT)))
+            return F.when(F.size(found) == 0, chain).otherwise(F.concat(F.array_join(each, ""), joined(before(F.size(found)), n)))
 
-    def walk(s: Column, x: Column) -> Column:
-        opened = state(s["done"], F.concat(s["open"], x["gap"]), F.lit(0))
-        return F.when(x["chain"].isNull(), opened).otherwise(chain(opened, F.regexp_extract_all(x["chain"], F.lit("[ -]?[A-Z0-9]+"), F.lit(0))))
+        return bound(bound(ends, cuts), text)
 
-    none = F.array().cast("array<string>")
-    steps = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(t, F.lit(_CHAIN), F.lit(0)).alias("chain"))
-    return F.aggregate(steps, state(none, F.lit(""), F.lit(0)), walk, lambda s: F.concat(s["done"], F.array(s["open"])))
+    return bound(F.regexp_extract_all(chain, F.lit("[ -]?[A-Z0-9]+"), F.lit(0)), of)
+
+
+def _segments(t: Column) -> Column:
+    """The text in pieces: valid numbers that have other groups beside them stand alone."""
+    odd = t.rlike(f"[{_ESCAPE}{_CUT}]")
+    swap = lambda s, *pairs: F.replace(F.replace(s, *map(F.lit, pairs[0])), *map(F.lit, pairs[1]))
+    safe = F.when(odd, swap(t, (_ESCAPE, _ESCAPE + "!"), (_CUT, _ESCAPE + "?"))).otherwise(t)
+    steps = F.arrays_zip(F.split(safe, _CHAIN, -1).alias("gap"), F.regexp_extract_all(safe, F.lit(_CHAIN), F.lit(0)).alias("chain"))
+    marked = F.array_join(F.transform(steps, lambda x: F.concat(x["gap"], F.when(x["chain"].isNotNull(), _marked(x["chain"])).otherwise(""))), "")
+    pieces = F.split(marked, _CUT, -1)
+    return F.when(odd, F.transform(pieces, lambda s: swap(s, (_ESCAPE + "?", _CUT), (_ESCAPE + "!", _ESCAPE)))).otherwise(pieces)
 
 
 def _email(token: Column, key: str) -> Column:

@@ -58,7 +58,7 @@ def test_long_texts_native(spark, long):
 
 def test_long_texts_free_style(spark):
     encode = bp.encoder(bp.default_tokenizer())
-    assert len(encode(" " * MB)) == MB and encode("a" + " " * 5000 + "b")[-1] == encode("b")[0]
+    assert len(encode(" " * MB)) == MB and encode("a" + " " * 5000 + "b")[-1] == encode(" b")[0]
     begin = time.time()
     many = ls.scan_text(LONG["choices"])
     assert many["labels"] == "mit" and many["permitted"] and len(many["expressions"].split()) == 2 * (MB // 7) + 1
@@ -367,7 +367,7 @@ def test_pipeline_stages_keep_clashing_columns(spark):
     text = lambda i: f"{words} {i} {words} mail a{i}@example.org"
     clash = ("_lang", "_score", "_before", "_node", "_row", "lang_pred", "known_share", "pii", "node", "first", "_epoch", "_tokens")
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    docs = spark.createDataFrame([(i, text(i), "en" if i else None, "s", len(text(i))) for i in range(40)] + [(99, "xqj zvkq wpfx " * 30, "en", "s", 420)], schema)
+    docs = spark.createDataFrame([(i, text(i), "en" if i else None, "s", len(text(i))) for i in range(40)] + [(99, "xqj zvkq wpfx " * 30, None, "s", 420)], schema)
     docs = docs.select("*", *(F.lit(777).alias(c) for c in clash))
     out = docs
     for name, stage in cp.STAGES[:3]:
