@@ -34,7 +34,7 @@ SEED = 42
 #: For near copies by the similarity of their sets of shingles.
 WIDE_SHINGLE, WIDE_DISTANCE, SIMILARITY = 5, 11, 0.8
 #: Independent fingerprints, of which one must be close for a pair to be compared.
-FINGERPRINTS = 3
+FINGERPRINTS = 2
 _FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, FINGERPRINTS, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Fingerprints that candidate counts are estimated on, at most.
 SAMPLE = 4096
@@ -42,6 +42,8 @@ SAMPLE = 4096
 PAIR_COST = 0.02
 #: Members of a bucket from which it is dealt out in blocks, and members of a block.
 HOT = 4096
+#: Members from which a bucket is handled by cliques instead of pair by pair.
+DENSE = 32
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> list[bytes]:
@@ -220,7 +222,15 @@ def _near(x: np.ndarray, y: np.ndarray, distance: int) -> np.ndarray:
 
 
 def _pairs_in_groups(key: np.ndarray, fp: np.ndarray, distance: int, out: Forest) -> None:
-    """All pairs of rows with equal key, by lag: rows are sorted by key."""
+    """Links of rows with equal key; rows are sorted by key. Small groups pair by pair, by lag."""
+    if not len(key):
+        return
+    starts = np.nonzero(np.r_[True, key[1:] != key[:-1]])[0]
+    sizes = np.diff(np.r_[starts, len(key)])
+    for a, n in zip(starts[sizes > DENSE].tolist(), sizes[sizes > DENSE].tolist(), strict=True):
+        _large_group(fp[a : a + n], distance, out)
+    small = np.repeat(sizes <= DENSE, sizes)
+    key, fp = key[small], fp[small]
     at, lag = np.arange(len(key)), 0
     while True:
         lag += 1
@@ -232,6 +242,42 @@ def _pairs_in_groups(key: np.ndarray, fp: np.ndarray, distance: int, out: Forest
         out.add(fp[hit], fp[hit + lag])
 
 
+def _large_group(fp: np.ndarray, distance: int, out: Forest) -> None:
+    """Links that connect whatever is connected in one group, fewer than it has members.
+
+    Members within half the distance of a leader are within the distance of each other, so
+    they are one clique; cliques are compared only while they are not connected."""
+    left, cliques, radius = np.arange(len(fp)), [], []
+    while len(left):
+        d = np.bitwise_count(fp[left] ^ fp[left[0]])
+        near = d <= distance // 2
+        cliques.append(left[near])
+        radius.append(int(d[near].max()))
+        out.add(np.full(int(near.sum()) - 1, fp[left[0]]), fp[left[near][1:]])
+        left = left[~near]
+    lead, wide, root = fp[[c[0] for c in cliques]], np.array(radius), np.arange(len(cliques))
+    for i in range(len(lead) - 1):
+        d = np.bitwise_count(lead[i + 1 :] ^ lead[i])
+        hit = np.nonzero((d <= distance) & (root[i + 1 :] != root[i]))[0]
+        if len(hit):
+            hit = hit[np.argsort(d[hit], kind="stable")] + i + 1
+            hit = hit[np.unique(root[hit], return_index=True)[1]]
+            out.add(np.full(len(hit), lead[i]), lead[hit])
+            root[np.isin(root, root[hit])] = root[i]
+    # Members of cliques whose leaders are too far apart may still be close.
+    for i in np.nonzero(wide >= 0)[0].tolist() if wide.any() else []:
+        if (root == root[0]).all():
+            return
+        d = np.bitwise_count(lead ^ lead[i]).astype(np.int64)
+        for j in np.nonzero((d > distance) & (d <= distance + wide + wide[i]) & (root != root[i]))[0].tolist():
+            if j > i and root[j] != root[i]:
+                d2 = np.bitwise_count(fp[cliques[i], None] ^ fp[cliques[j]][None, :])
+                x, y = np.unravel_index(d2.argmin(), d2.shape)
+                if d2[x, y] <= distance:
+                    out.add(fp[cliques[i][x : x + 1]], fp[cliques[j][y : y + 1]])
+                    root[root == root[j]] = root[i]
+
+
 def _table(a: np.ndarray, b: np.ndarray, hot: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), hot))], ["a", "b", "hot"])
 
@@ -296,12 +342,7 @@ def _hot_links(rows: DataFrame, distance: int, size: int) -> DataFrame:
         right: list[int] = []
 
         def flush() -> None:
-            x, y = np.array(left, np.int64).view(np.uint64), np.array(right, np.int64).view(np.uint64)
-            y = y if held[1] != held[2] else x
-            for at in range(0, len(x), 256):
-                p, q = np.nonzero(_near(x[at : at + 256, None], y[None, :], distance))
-                keep = x[at + p] < y[q] if held[1] == held[2] else x[at + p] != y[q]
-                out.add(x[at + p][keep], y[q][keep])
+            _large_group(np.array(left + right, np.int64).view(np.uint64), distance, out)
 
         for b in batches:
             for key, lo, hi, i, fp in zip(*(c.to_pylist() for c in b.columns), strict=True):

@@ -201,6 +201,28 @@ def test_links_give_the_components(spark, plan, hot):
     assert len({(a, b) for a, b in zip(got, want, strict=True)}) == len(set(want)) == len(set(got))
 
 
+@pytest.mark.parametrize("distance", [4, 11])
+def test_large_groups(distance):
+    fps = sorted(set(clustered(7, 300)))
+    forest = sp.Forest()
+    sp._large_group(np.array(fps, np.uint64), distance, forest)
+    forest.shrink()
+    a, b = forest.a[0].tolist(), forest.b[0].tolist()
+    assert all(bin(x ^ y).count("1") <= distance for x, y in zip(a, b, strict=True))
+    want = brute_components(fps, distance)
+    assert len(a) == len(fps) - len(set(want))
+    parent = {x: x for x in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in zip(a, b, strict=True):
+        parent[find(x)] = find(y)
+    assert len({(find(x), w) for x, w in zip(fps, want, strict=True)}) == len(set(want))
+
+
 def test_plans_follow_the_principle():
     sample = np.array(clustered(2, 400), np.uint64)
     for n in (10, 10**5, 10**8, 10**10):
