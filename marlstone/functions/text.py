@@ -11,16 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD = r"[\p{L}\p{N}]+"
-#: Words, and codes whose parts are joined by one of - _ . (kept whole).
-TOKEN = WORD + r"(?:[-_.]" + WORD + ")*"
+WORD = r"[\p{L}\p{N}]++"
+#: Words, and codes whose parts are joined by one of - _ . (kept whole). The loops are
+#: possessive, so that the engine need not remember, on its stack, each part of a long one.
+TOKEN = WORD + r"(?:[-_.]" + WORD + ")*+"
 
 # Patterns that the results depend on.
 EMAIL = r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+"
 PHONE = r"(?U)(?<![\d-])(?:\+?\d[\d\s().-]{8,}\d)(?![\d-])"
+#: The same matches as EMAIL, but tried only where a run of its characters, or the search, begins.
+_EMAIL = r"(?:(?<![\p{L}\p{N}_.+-])|\G)[\p{L}\p{N}_.+-]++@[\p{L}\p{N}_-]++\.[\p{L}\p{N}_.-]++"
 CARD = r"(?U)\b(?:\d[ -]?){13,16}\b"
 #: In this order, each on what the one before left.
-REDACTIONS = (("email", EMAIL), ("phone", PHONE), ("card", CARD))
+REDACTIONS = (("email", _EMAIL), ("phone", PHONE), ("card", CARD))
 
 # Words that ask about a picture.
 VISUAL_WORDS = """
@@ -57,6 +60,10 @@ def pairs(words: Column) -> Column:
     return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit("_"), F.get(words, i + 1)))
 
 
+def email_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(_EMAIL)).cast("long")
+
+
 def redact(text: Column) -> Column:
     for name, pattern in REDACTIONS:
         text = F.regexp_replace(text, pattern, f"[{name} removed]")
@@ -84,7 +91,7 @@ def squeezed(text: Column) -> Column:
 def strip_think(text: Column) -> Column:
     """Without closed think blocks, cut from an open one on, trimmed."""
     closed = F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
-    return F.regexp_replace(F.regexp_replace(closed, r"(?s)<think>.*$", ""), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(closed, r"(?s)<think>.*$", ""), r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def looks_visual(question: Column) -> Column:

@@ -84,15 +84,15 @@ def default_rate(model: Column) -> Column:
 
 
 def dense(factors_a: DataFrame, factors_b: DataFrame, scaling: Column | float = 1.0) -> DataFrame:
-    """(stratum, name, i, j, v) = scaling * B A, from A (stratum, name, r, j, v) and B
-    (stratum, name, i, r, v)."""
+    """(part, name, i, j, v) = scaling * B A, from A (part, name, r, j, v) and B
+    (part, name, i, r, v)."""
     a = factors_a.withColumnRenamed("v", "va")
-    return factors_b.join(a, ["stratum", "name", "r"]).groupBy("stratum", "name", "i", "j").agg((F.sum(F.col("v") * F.col("va")) * scaling).alias("v"))
+    return factors_b.join(a, ["part", "name", "r"]).groupBy("part", "name", "i", "j").agg((F.sum(F.col("v") * F.col("va")) * scaling).alias("v"))
 
 
 def merge_linear(deltas: DataFrame, weights: DataFrame) -> DataFrame:
-    """(name, i, j, v): weighted sums of (stratum, name, i, j, v)."""
-    return deltas.join(weights, "stratum").groupBy("name", "i", "j").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
+    """(name, i, j, v): weighted sums of (part, name, i, j, v)."""
+    return deltas.join(weights, "part").groupBy("name", "i", "j").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
 
 
 def trimmed(deltas: DataFrame, density: float) -> DataFrame:
@@ -100,7 +100,7 @@ def trimmed(deltas: DataFrame, density: float) -> DataFrame:
     entries; ties with the k-th stay. The k-th is found by counting entries by size."""
     if density >= 1:
         return deltas
-    key = ["stratum", "name"]
+    key = ["part", "name"]
     sizes = deltas.withColumn("m", F.abs("v")).groupBy(*key, "m").agg(F.count("*").alias("c"))
     upto = F.sum("c").over(Window.partitionBy(*key).orderBy(F.desc("m")))
     total = F.sum("c").over(Window.partitionBy(*key))
@@ -111,8 +111,8 @@ def trimmed(deltas: DataFrame, density: float) -> DataFrame:
 def merge_ties(deltas: DataFrame, weights: DataFrame, density: float = 0.2) -> DataFrame:
     """(name, i, j, v): trimmed and weighted entries; the sign of their sum decides, and
     those that agree with it are averaged."""
-    w = trimmed(deltas, density).join(weights, "stratum").select("name", "i", "j", (F.col("v") * F.col("w")).alias("x"))
-    # Entries of one cell are one for each stratum: few, whatever the model's size.
+    w = trimmed(deltas, density).join(weights, "part").select("name", "i", "j", (F.col("v") * F.col("w")).alias("x"))
+    # Entries of one cell are one for each part: few, whatever the model's size.
     cells = w.groupBy("name", "i", "j").agg(F.sum("x").alias("s"), F.collect_list("x").alias("xs"))
     kept = F.filter("xs", lambda x: (F.signum(x) == F.signum(F.col("s"))) & (x != 0))
     return cells.select("name", "i", "j", (F.aggregate(kept, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size(kept), F.lit(1))).alias("v"))
@@ -122,7 +122,8 @@ def merge_dare(deltas: DataFrame, weights: DataFrame, drop: float = 0.9, seed: i
     """(name, i, j, v): entries dropped by a seeded hash, the rest scaled up, weighted sums."""
     if not 0 <= drop < 1:
         raise ValueError("drop must be at least 0 and under 1")
-    u = F.pmod(F.xxhash64(F.lit(seed), "stratum", "name", "i", "j"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    cell = F.md5(F.concat_ws(":", F.lit(str(seed)), "part", "name", F.col("i").cast("string"), F.col("j").cast("string")).cast("binary"))
+    u = F.conv(F.substring(cell, 1, 8), 16, 10).cast("double") / float(1 << 32)
     kept = deltas.withColumn("v", F.when(u >= drop, F.col("v") / (1 - drop)).otherwise(0.0))
     return merge_linear(kept, weights)
 

@@ -62,7 +62,7 @@ def summary(manifest_rows: DataFrame) -> DataFrame:
 def normalised(text: Column) -> Column:
     """Spaces and tabs as one space, at most one empty line, trimmed: what cuts refer to."""
     flat = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n")
-    return F.regexp_replace(flat, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.regexp_replace(flat, r"(?U)^[\s\x1c-\x1f]++|(?<![\s\x1c-\x1f])[\s\x1c-\x1f]++$", "")
 
 
 def cut_text(text: str, size: int, overlap: int) -> list[tuple[int, str]]:

@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 from ..functions import text as tx
 from .index import plain_idf, term_counts, weights
 
+#: Labels of profiles that are compared with each other, at most.
+LABELS = 10_000
+
 
 def vectors(docs: DataFrame, min_df: int = 2, row: str = "row") -> tuple[DataFrame, DataFrame, int]:
     """(row, term, tf, weight), idf and the number of rows, by words, pairs and 4-grams."""
@@ -32,12 +35,21 @@ def thin(docs: DataFrame, label: str, least: int = 20) -> DataFrame:
     return docs.groupBy(label).agg(F.count("*").alias("n")).where(F.col("n") < least)
 
 
+def names_of(cents: DataFrame, label: str) -> list[str]:
+    """The labels of profiles: departments or skills, whose number doesn't grow with the corpus.
+    More than LABELS are refused, since everything here compares all of them."""
+    names = [r[0] for r in cents.select(label).distinct().limit(LABELS + 1).collect()]
+    if len(names) > LABELS:
+        raise ValueError(f"more than {LABELS} labels")
+    return sorted(names)
+
+
 def route_scores(requests: DataFrame, cents: DataFrame, idf: DataFrame, label: str = "skill") -> DataFrame:
     """(rid, label, score): cosine of each request and each profile, 6 places; 0 if they
     share nothing."""
     vec = weights(term_counts(requests, "rid", "text", tx.features), idf, "rid").select("rid", "term", F.col("weight").alias("w"))
     dots = vec.join(cents, "term").groupBy("rid", label).agg(F.sum(F.col("w") * F.col("weight")).alias("s"))
-    every = requests.select("rid").withColumn("_all", F.lit(1)).join(cents.select(label).distinct().withColumn("_all", F.lit(1)), "_all").drop("_all")
+    every = requests.select("rid", F.explode(F.lit(names_of(cents, label)).cast("array<string>")).alias(label))
     return every.join(dots, ["rid", label], "left").select("rid", label, F.round(F.coalesce("s", F.lit(0.0)), 6).alias("score"))
 
 
@@ -73,8 +85,8 @@ def similarities(cents: DataFrame, label: str = "compartment") -> DataFrame:
     feature have 0 and are there too. The number of profiles is that of departments."""
     x, y = cents.select(F.col(label).alias("a"), "term", F.col("weight").alias("x")), cents.select(F.col(label).alias("b"), "term", F.col("weight").alias("y"))
     dots = x.join(y, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
-    names = cents.select(F.col(label).alias("a"), F.lit(1).alias("_all")).distinct()
-    every = names.join(names.withColumnRenamed("a", "b"), "_all").where("a < b").drop("_all")
+    names = names_of(cents, label)
+    every = cents.select(F.col(label).alias("a")).distinct().select("a", F.explode(F.lit(names).cast("array<string>")).alias("b")).where("a < b")
     return every.join(dots, ["a", "b"], "left").select("a", "b", F.round(F.coalesce("s", F.lit(0.0)), 6).alias("similarity"))
 
 

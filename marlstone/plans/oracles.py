@@ -361,13 +361,15 @@ u AS (SELECT *, round(width / act, 6) AS tok_s FROM w), v AS (SELECT *, size < {
 SELECT name, total_b, active_b, license, round(size, 6) AS disk_gb, round(act, 6) AS active_gb, place_ AS "where", tok_s, round(total_b / active_b, 6) AS sparsity, usable, CAST(row_number() OVER (ORDER BY usable DESC, total_b DESC, name) AS INTEGER) AS place FROM v"""
 ORACLES["epoch_verdicts"] = f"""WITH l(run, epoch, loss) AS (VALUES {fx.values(fx.LOSSES)}), w AS (SELECT run, epoch, CAST(loss AS DOUBLE) AS loss, min(loss) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best, first_value(loss) OVER (PARTITION BY run ORDER BY epoch) AS first FROM l)
 SELECT run, epoch, loss, best IS NULL OR loss < best AS improved, NOT (best IS NULL OR loss < best) AND loss > first AS diverging FROM w"""
-DELTAS = f"""d AS (SELECT 's' || CAST(vec_id % 3 AS VARCHAR) AS stratum, 'w' AS name, vec_id // 3 AS i, j - 1 AS j, round(CAST(embedding[j] AS DOUBLE), 4) AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS j FROM embeddings)),
-ws(stratum, w) AS (VALUES {fx.values(fx.WEIGHTS)})"""
-ORACLES["merge_linear"] = f"WITH {DELTAS} SELECT name, i, CAST(j AS INTEGER) AS j, round(sum(CAST(w AS DOUBLE) * v), 6) AS v FROM d JOIN ws USING (stratum) GROUP BY ALL"
-ORACLES["merge_ties"] = f"""WITH {DELTAS}, o AS (SELECT *, row_number() OVER (PARTITION BY stratum, name ORDER BY abs(v) DESC) AS n, greatest(1, CAST(floor(count(*) OVER (PARTITION BY stratum, name) * 0.2) AS BIGINT)) AS k FROM d),
-t AS (SELECT stratum, name, min(abs(v)) AS least FROM o WHERE n <= k GROUP BY ALL),
-x AS (SELECT name, i, j, v * CAST(w AS DOUBLE) AS x FROM d JOIN t USING (stratum, name) JOIN ws USING (stratum) WHERE abs(v) >= least),
+DELTAS = f"""d AS (SELECT 's' || CAST(vec_id % 3 AS VARCHAR) AS part, 'w' AS name, vec_id // 3 AS i, j - 1 AS j, round(CAST(embedding[j] AS DOUBLE), 4) AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS j FROM embeddings)),
+ws(part, w) AS (VALUES {fx.values(fx.WEIGHTS)})"""
+ORACLES["merge_linear"] = f"WITH {DELTAS} SELECT name, i, CAST(j AS INTEGER) AS j, round(sum(CAST(w AS DOUBLE) * v), 6) AS v FROM d JOIN ws USING (part) GROUP BY ALL"
+ORACLES["merge_ties"] = f"""WITH {DELTAS}, o AS (SELECT *, row_number() OVER (PARTITION BY part, name ORDER BY abs(v) DESC) AS n, greatest(1, CAST(floor(count(*) OVER (PARTITION BY part, name) * 0.2) AS BIGINT)) AS k FROM d),
+t AS (SELECT part, name, min(abs(v)) AS least FROM o WHERE n <= k GROUP BY ALL),
+x AS (SELECT name, i, j, v * CAST(w AS DOUBLE) AS x FROM d JOIN t USING (part, name) JOIN ws USING (part) WHERE abs(v) >= least),
 s AS (SELECT *, sum(x) OVER (PARTITION BY name, i, j) AS s FROM x)
 SELECT name, i, CAST(j AS INTEGER) AS j, round(coalesce(sum(x) FILTER (sign(x) = sign(s) AND x <> 0), 0) / greatest(count(*) FILTER (sign(x) = sign(s) AND x <> 0), 1), 9) AS v FROM s GROUP BY ALL"""
 ORACLES["bundle_verify"] = f"""WITH {FILES}, was AS (SELECT path, sha256 FROM files WHERE path NOT LIKE '%5.txt'), now AS (SELECT path, CASE WHEN path LIKE '%9.txt' THEN sha256(text || '!') ELSE sha256 END AS s FROM files WHERE path NOT LIKE '%7.txt')
 SELECT coalesce(was.path, now.path) AS path, CASE WHEN s IS NULL THEN 'missing' WHEN sha256 IS NULL THEN 'extra' ELSE 'changed' END AS problem FROM was FULL JOIN now ON was.path = now.path WHERE s IS NULL OR sha256 IS NULL OR s <> sha256"""
+ORACLES["merge_dare"] = f"""WITH {DELTAS}, k AS (SELECT *, CAST('0x' || substr(md5(concat_ws(':', '0', part, name, CAST(i AS VARCHAR), CAST(j AS VARCHAR))), 1, 8) AS BIGINT) / 4294967296.0 AS u FROM d)
+SELECT name, i, CAST(j AS INTEGER) AS j, round(sum(CAST(w AS DOUBLE) * CASE WHEN u >= 0.9 THEN v / (1 - CAST(0.9 AS DOUBLE)) ELSE 0.0 END), 6) AS v FROM k JOIN ws USING (part) GROUP BY ALL"""

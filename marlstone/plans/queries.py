@@ -87,7 +87,7 @@ def redacted_text(spark, sf):
 
 @query
 def redact_email_counts(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.regexp_count("text", F.lit(tx.EMAIL)).cast("long").alias("n_email"))
+    return _docs(spark, sf).select("doc_id", tx.email_count(F.col("text")).alias("n_email"))
 
 
 @query
@@ -239,8 +239,7 @@ def _questions(chunks: DataFrame) -> DataFrame:
 
 
 def _allowed(spark: SparkSession, queries: DataFrame, principal: str) -> DataFrame:
-    grants = spark.createDataFrame([(c,) for c in fx.GRANTS[principal]], "compartment string")
-    return queries.select("qid", F.lit(1).alias("_all")).join(grants.withColumn("_all", F.lit(1)), "_all").drop("_all")
+    return queries.select("qid", F.explode(F.lit(list(fx.GRANTS[principal]))).alias("compartment"))
 
 
 def _hits(df: DataFrame) -> DataFrame:
@@ -628,10 +627,10 @@ def epoch_verdicts(spark, sf):
 
 
 def _deltas(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Embeddings as weight changes of three strata."""
+    """Embeddings as weight changes of three models."""
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
-    rows = v.select(F.concat(F.lit("s"), (F.col("vec_id") % 3).cast("string")).alias("stratum"), F.lit("w").alias("name"), F.floor(F.col("vec_id") / 3).alias("i"), F.posexplode("embedding").alias("j", "x"))
-    return rows.select("stratum", "name", "i", "j", F.round(F.col("x").cast("double"), 4).alias("v")), spark.createDataFrame(fx.WEIGHTS, "stratum string, w double")
+    rows = v.select(F.concat(F.lit("s"), (F.col("vec_id") % 3).cast("string")).alias("part"), F.lit("w").alias("name"), F.floor(F.col("vec_id") / 3).alias("i"), F.posexplode("embedding").alias("j", "x"))
+    return rows.select("part", "name", "i", "j", F.round(F.col("x").cast("double"), 4).alias("v")), spark.createDataFrame(fx.WEIGHTS, "part string, w double")
 
 
 @query

@@ -98,15 +98,15 @@ def test_reports(spark):
 
 
 def test_merges(spark):
-    d = spark.createDataFrame([("a", "w", 0, 0, 1.0), ("a", "w", 0, 1, -0.1), ("b", "w", 0, 0, -3.0), ("b", "w", 0, 1, 0.2)], "stratum string, name string, i int, j int, v double")
-    w = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "stratum string, w double")
+    d = spark.createDataFrame([("a", "w", 0, 0, 1.0), ("a", "w", 0, 1, -0.1), ("b", "w", 0, 0, -3.0), ("b", "w", 0, 1, 0.2)], "part string, name string, i int, j int, v double")
+    w = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "part string, w double")
     cells = lambda df: {(r["i"], r["j"]): round(r["v"], 6) for r in df.collect()}
     assert cells(calc.merge_linear(d, w)) == {(0, 0): -2.0, (0, 1): 0.1}
     assert cells(calc.merge_ties(d, w, density=0.5)) == {(0, 0): -3.0}
     assert cells(calc.merge_ties(d, w, density=1.0)) == {(0, 0): -3.0, (0, 1): 0.2}
     assert cells(calc.merge_dare(d, w, drop=0.0)) == cells(calc.merge_linear(d, w))
-    a = spark.createDataFrame([("s", "w", 0, 0, 2.0), ("s", "w", 0, 1, 3.0)], "stratum string, name string, r int, j int, v double")
-    b = spark.createDataFrame([("s", "w", 0, 0, 5.0)], "stratum string, name string, i int, r int, v double")
+    a = spark.createDataFrame([("s", "w", 0, 0, 2.0), ("s", "w", 0, 1, 3.0)], "part string, name string, r int, j int, v double")
+    b = spark.createDataFrame([("s", "w", 0, 0, 5.0)], "part string, name string, i int, r int, v double")
     assert cells(calc.dense(a, b, 2.0)) == {(0, 0): 20.0, (0, 1): 30.0}
     assert calc.shift_ratio(d, d).first()["ratio"] == 1.0
 

@@ -17,42 +17,63 @@ def one(spark, column, **values):
     return df.select(column.alias("x")).first()["x"]
 
 
-def test_tokens_keep_codes_and_scripts(spark):
-    t = F.col("t")
-    assert one(spark, tx.tokens(t), t="V-201 rated 480V rev.2") == ["v-201", "rated", "480v", "rev.2"]
-    assert len(one(spark, tx.tokens(t), t="Überdruck é naïve")) == 3
-    assert len(one(spark, tx.tokens(t), t="насос работает")) == 2
-    assert len(one(spark, tx.tokens(t), t="مضخة تعمل")) == 2
-    assert one(spark, tx.tokens(t), t="_ -- .") == []
-
-
-def expected_features(text):
-    words = re.findall(r"[^\W_]+(?:[-_.][^\W_]+)*", text.lower())
-    flat = " ".join(words)
-    return Counter(words) + Counter(f"{a}_{b}" for a, b in zip(words, words[1:], strict=False)) + Counter(flat[i : i + 4] for i in range(0, max(0, len(flat) - 4), 2))
-
-
-@pytest.mark.parametrize("text", ["", "a", "pump P-4471 at 84 bar", "abcd", "abcde", "abcdef gh", "x y z " * 20])
+@pytest.mark.parametrize(("text", "tokens"), [
+    ("Oven KX-77 draws 9A, see v1.4_b", ["oven", "kx-77", "draws", "9a", "see", "v1.4_b"]),
+    ("Ångström œuvre", ["ångström", "œuvre"]),
+    ("γάτα τρώει ψάρι", ["γάτα", "τρώει", "ψάρι"]),
+    ("חתול ישן", ["חתול", "ישן"]),
+    ("_ -- .", []),
+])
+def test_tokens_keep_codes_and_scripts(spark, text, tokens):
+    assert one(spark, tx.tokens(F.col("t")), t=text) == tokens
+
+
+def test_long_texts(spark):
+    """A long joined token, a long run without an @, and long white space, of 1 MB each."""
+    n = 1 << 20
+    joined = spark.createDataFrame([("a" + ".a" * (n // 2),), ("a@b" + ".a" * (n // 2),), ("a" * n,), ("x" + "\u2003" * n + "y",)], "t string")
+    got = joined.select(F.size(tx.tokens(F.col("t"))).alias("n"), F.length(tx.redact(F.col("t"))).alias("r"), F.length(tx.strip_think(F.col("t"))).alias("s")).collect()
+    assert [r["n"] for r in got] == [1, 2, 1, 2]
+    assert [r["r"] for r in got] == [n + 1, len("[email removed]"), n, n + 2] and got[3]["s"] == n + 2
+
+
+@pytest.mark.parametrize("text", ["a@b.c+d@e.f", "a@b.c.d@e.f x@y", "+a@b.co,c@d.eu", "a@b", "é_1.x@ö-b.ü", "@a.b a@@b.c"])
+def test_addresses_are_those_of_the_pattern(spark, text):
+    want = re.sub(r"[^\W]*[\w.+-]+@[\w-]+\.[\w.-]+", "[email removed]", text)
+    assert one(spark, F.regexp_replace(F.col("t"), tx._EMAIL, "[email removed]"), t=text) == want == one(spark, F.regexp_replace(F.col("t"), tx.EMAIL, "[email removed]"), t=text)
+
+
+FEATURES = {
+    "": [],
+    "q": ["q"],
+    "wxyz": ["wxyz"],
+    "wxyzw": ["wxyzw", "wxyz"],
+    "Tea for-2 cups": ["tea", "for-2", "cups", "tea_for-2", "for-2_cups", "tea ", "a fo", "for-", "r-2 ", "2 cu"],
+    "no no no": ["no"] * 3 + ["no_no"] * 2 + ["no n", " no "],
+}
+
+
+@pytest.mark.parametrize("text", FEATURES)
 def test_features(spark, text):
-    assert Counter(one(spark, tx.features(F.col("t")), t=text)) == expected_features(text)
+    assert Counter(one(spark, tx.features(F.col("t")), t=text)) == Counter(FEATURES[text])
 
 
 def test_redaction(spark):
-    text = "Mail duty@example.com or call +1 555 010 4477."
-    assert one(spark, tx.redact(F.col("t")), t=text) == "Mail [email removed] or call [phone removed]."
+    text = "Ask lea.m@shop.example, ring (0)30 901 820 55"
+    assert one(spark, tx.redact(F.col("t")), t=text) == "Ask [email removed], ring ([phone removed]"
     counts = tx.redaction_counts(F.col("t"))
     assert [one(spark, counts[k], t=text) for k in ("email", "phone", "card")] == [1, 1, 0]
 
 
 def test_compartments(spark):
     c = tx.compartment_of(F.col("p"))
-    assert [one(spark, c, p=p) for p in ("readme.txt", "finance/contract.pdf", "hr/records/2026/june.csv")] == ["public", "finance", "hr"]
+    assert [one(spark, c, p=p) for p in ("top.md", "garden/roses.pdf", "kitchen/a/b/menu.csv")] == ["public", "garden", "kitchen"]
 
 
 def test_think_blocks(spark):
     c = tx.strip_think(F.col("t"))
-    assert one(spark, c, t="<think>ran out of tok") == ""
-    assert one(spark, c, t="a<think>x</think>b<think>y</think>c") == "abc"
+    assert one(spark, c, t="<think>never closed") == ""
+    assert one(spark, c, t=" one <think>p</think>two<think>q</think> ") == "one two"
 
 
 def test_file_names(spark):
@@ -65,34 +86,34 @@ def test_file_names(spark):
 
 def test_model_size(spark):
     c = tx.model_size(F.col("m"))
-    assert one(spark, c, m="Qwen/Qwen3-1.7B") == 1.7
+    assert one(spark, c, m="some/model-12b-chat") == 12
     assert one(spark, c, m="./folder/") is None
 
 
 def test_scorers(spark):
     o, e = F.col("o"), F.col("e")
-    assert one(spark, sc.score_contains(o, e), o="the total is 88", e="88") == 1
-    assert one(spark, sc.score_json_field(o, e), o='so {"total":44} it is', e='{"total":44,"tax":3}') == 0.5
-    assert one(spark, sc.score_json_field(o, e), o='{"total":"$1,499"}', e='{"total":1499}') == 1
-    assert one(spark, sc.score_json_field(o, e), o="nothing", e='{"total":1499}') == 0
+    assert one(spark, sc.score_contains(o, e), o="nine of 31 were red", e="31") == 1
+    assert one(spark, sc.score_json_field(o, e), o='here: {"age":7} ok', e='{"age":7,"name":"Bo"}') == 0.5
+    assert one(spark, sc.score_json_field(o, e), o='{"cost":"$2,350"}', e='{"cost":2350}') == 1
+    assert one(spark, sc.score_json_field(o, e), o="no json", e='{"cost":2350}') == 0
     assert one(spark, sc.score_overlap(o, e), o="red red blue", e="red green") == pytest.approx(0.4)
     assert one(spark, sc.score_overlap(o, e), o="", e="red") == 0
     assert one(spark, sc.score_refusal(o, e), o=sc.REFUSAL, e="four") == 0
-    assert one(spark, sc.values_match(o, e), o="$88", e="88.0") is True
+    assert one(spark, sc.values_match(o, e), o="$31", e="31.0") is True
 
 
 def test_support(spark):
-    passages = "Pump P-4471 has a clearance of 0.418 mm at 4000 rpm; K-201 runs at 84 bar."
+    passages = "Oven KX-77 bakes for 0.75 h at 1250 W; tray T-3 holds 18 loaves."
     check = sc.support_check(F.col("a"), F.lit(passages))
 
     def of(answer):
         return {k: one(spark, c, a=answer) for k, c in check.items()}
 
-    assert of("It is 1.5 to 2.0 here")["bad_numbers"] == ["1.5", "2"]
-    assert of("See P-9999")["bad_identifiers"] == ["P9999"]
-    assert of("P4471 has 0.4180 at 4,000")["supported"] is True
+    assert of("It takes 6.5 to 9.0 here")["bad_numbers"] == ["6.5", "9"]
+    assert of("See KX-78")["bad_identifiers"] == ["KX78"]
+    assert of("KX77 bakes 0.750 at 1,250")["supported"] is True
     assert of(sc.REFUSAL)["reason"] == "refusal"
-    assert of("Bananas grow quickly under warm tropical sunlight")["reason"].startswith("almost nothing")
+    assert of("Penguins gather slowly beside frozen southern coastlines")["reason"].startswith("almost nothing")
     assert of(None)["supported"] is True
 
 
@@ -103,15 +124,15 @@ def test_prompt_round_trip(spark):
 
 def test_secret_on_digit_boundary(spark):
     c = sc.contains_secret(F.col("a"), F.col("s"))
-    assert one(spark, c, a="it is 42.150 mm", s="2.15") is False
-    assert one(spark, c, a="it is 2.15 mm", s="2.15") is True
+    assert one(spark, c, a="about 318.07 g", s="18.07") is False
+    assert one(spark, c, a="about 18.07 g", s="18.07") is True
 
 
 def test_answer_presence(spark):
     c = sc.answer_is_present(F.col("a"), F.col("p"))
-    assert one(spark, c, a="84 bar", p="nothing") is True  # no longer term to look for
-    assert one(spark, c, a="clearance 0.418", p="the clearance was 0.418 mm") is True
-    assert one(spark, c, a="clearance 0.418", p="the distance") is False
+    assert one(spark, c, a="31 g", p="empty") is True  # no longer term to look for
+    assert one(spark, c, a="weight 18.075", p="its weight is 18.075 g") is True
+    assert one(spark, c, a="weight 18.075", p="its colour") is False
 
 
 @settings(max_examples=25, deadline=None)
