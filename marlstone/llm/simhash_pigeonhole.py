@@ -17,11 +17,13 @@ component; columns other than the id and the text are ignored, so no name can cl
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +34,12 @@ SHINGLE = 4
 DISTANCE = 4
 SEED = 42
 #: For near copies by the similarity of their sets of shingles.
-WIDE_SHINGLE, WIDE_DISTANCE, SIMILARITY = 5, 11, 0.8
-#: Independent fingerprints, of which one must be close for a pair to be compared.
-FINGERPRINTS = 2
+WIDE_SHINGLE, SIMILARITY = 5, 0.8
+#: Independent fingerprints of a text, the distance to which the plan finds every pair of
+#: them, and the distance up to which what it finds is compared by shingles.
+FINGERPRINTS, SURE_DISTANCE, WIDE_DISTANCE = 8, 3, 11
 _FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, FINGERPRINTS, np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = np.arange(30, 30 + FINGERPRINTS, dtype=np.uint64)
 #: Fingerprints that candidate counts are estimated on, at most.
 SAMPLE = 4096
 #: What one candidate costs in units of one row of the index.
@@ -68,17 +72,17 @@ def _fingerprints(parts: list[bytes], n: int) -> list[int]:
 
     if not parts:
         return [0] * n
-    values, out = np.array([xxh64_intdigest(s, SEED) for s in parts], "<u8"), []
-    for i in range(n):
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(values), 1 << 16):
-            some = values[at : at + (1 << 16)]
-            if i:
-                some = (some ^ (some >> np.uint64(29 + i))) * _FACTORS[i - 1]
-                some = (some ^ (some >> np.uint64(32))) * _FACTORS[i - 1]
-            ones += np.unpackbits(some.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits((2 * ones > len(values)).astype(np.uint8), bitorder="little").view("<u8")[0]))
-    return out
+    values = np.array([xxh64_intdigest(s, SEED) for s in parts], "<u8")
+    ones = np.zeros(64 * n, np.int64)
+    for at in range(0, len(values), 1 << 13):
+        some = np.repeat(values[at : at + (1 << 13), None], n, axis=1)
+        if n > 1:
+            x = (some[:, 1:] ^ (some[:, 1:] >> _SHIFTS[: n - 1])) * _FACTORS[: n - 1]
+            some[:, 1:] = (x ^ (x >> np.uint64(32))) * _FACTORS[: n - 1]
+        bits = np.unpackbits(some.astype("<u8").view(np.uint8), axis=1, bitorder="little")
+        for k in range(0, len(bits), 255):  # a byte holds the sum of 255 rows
+            ones += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
+    return np.packbits((2 * ones > len(values)).astype(np.uint8), bitorder="little").view("<u8").tolist()
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -138,15 +142,16 @@ def _close_share(bits: np.ndarray, group: tuple[int, ...]) -> list[float]:
     return np.maximum(np.cumsum(model), np.cumsum(seen) / max(1, len(values) * (len(values) - 1))).tolist()
 
 
-def make_plan(sample: np.ndarray, n: int, distance: int = DISTANCE) -> Plan:
-    """The cheapest groups and thresholds for n fingerprints, from a sample of them."""
+def make_plan(sample: np.ndarray, n: int, distance: int = DISTANCE, meet: float = 1.0) -> Plan:
+    """The cheapest groups and thresholds for n fingerprints, from a sample of them; ``meet``
+    is the share of pairs that may be compared at all."""
     bits, best = _bits(sample), (float("inf"), None)
     for m in range(max(1, -(-(distance + 1) // 3)), distance + 2):
         groups = _grouped(bits, m)
         state: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
         for g in groups:
             rows, share = (1, 1 + len(g) / 2, 1 + len(g)), _close_share(bits, g)
-            cost = {-1: 0.0} | {t: n * rows[t] + PAIR_COST * n * n / 2 * share[t] * (1, 1, 2)[t] for t in range(3)}
+            cost = {-1: 0.0} | {t: n * rows[t] + PAIR_COST * n * n / 2 * meet * share[t] * (1, 1, 2)[t] for t in range(3)}
             new: dict[int, tuple[float, tuple[int, ...]]] = {}
             for used, (c, ts) in state.items():
                 for t, x in cost.items():
@@ -287,14 +292,22 @@ def _unsigned(column: pa.Array) -> np.ndarray:
 
 
 def links(distinct: DataFrame, plan: Plan, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """(a, b): for every pair of distinct ``fp`` within the distance a path of such links."""
+    """(a, b): for every pair of distinct ``fp`` that the plan brings together, within the
+    distance, a path of such links. Rows may have ``rooms``, an array of long, beside ``fp``:
+    then only those that share a room come together."""
+    roomy = "rooms" in distinct.columns
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = _unsigned(b.column(0))
+            room = np.zeros(len(fp), np.uint64)
+            if roomy:
+                fp = fp[pa.compute.list_parent_indices(b.column(1)).to_numpy()]
+                room = _unsigned(pa.compute.list_flatten(b.column(1))) * _FACTORS[0]
             for at in range(0, len(fp), 1 << 14):
                 part = fp[at : at + (1 << 14)]
                 for key, rows in signatures(part, plan):
+                    key = key ^ room[at : at + (1 << 14)][rows]
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(part[rows].view(np.int64))], ["key", "fp"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,7 +334,7 @@ def links(distinct: DataFrame, plan: Plan, distance: int = DISTANCE, hot: int =
         for a, b in zip(out.a, out.b, strict=True):
             yield _table(a, b, False)
 
-    rows = distinct.select("fp").mapInArrow(probe, "key long, fp long")
+    rows = distinct.select("fp", *(["rooms"] if roomy else [])).mapInArrow(probe, "key long, fp long")
     found = staged(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(verify, "a long, b long, hot boolean"), "links")
     plain, rest = found.where("not hot").select("a", "b"), found.where("hot").select(F.col("a").alias("fp"), F.col("b").alias("key")).distinct()
     if rest.isEmpty():
@@ -403,41 +416,53 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
 
 
 def similar_texts(docs: DataFrame, text: str = "text", distance: int = WIDE_DISTANCE, shingle: int = WIDE_SHINGLE, least: float = SIMILARITY, hot: int = HOT) -> DataFrame:
-    """(node, component) of every text that has a near copy: fingerprints propose pairs, of
-    which one of FINGERPRINTS is within ``distance`` bits, and sets of shingles decide, by a
-    Jaccard similarity of ``least``.
-
-    Every link is exact. What fingerprints propose is a spanning forest of the closest links,
-    so groups of any size give at most one pair per text and task; the share of similar pairs
-    that end up together is measured, not guaranteed (see the README).
+    """(node, component) of every text that has a near copy: fingerprints propose pairs, and
+    sets of shingles decide, by a Jaccard similarity of ``least``.
+
+    Proposed is every pair with one of FINGERPRINTS within SURE_DISTANCE bits, and of those up
+    to ``distance`` whatever agrees in a group of the plan. Only sets whose sizes allow the
+    similarity come together: sizes fall into classes by powers of 1 / least, and a text
+    meets those of its own and of the next class. Every link is exact. What fingerprints
+    propose is a spanning forest of the closest links, so groups of any size give at most one
+    pair per text and task; the share of similar pairs that end up together is measured, not
+    guaranteed (see the README).
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = [shingles(t.as_py(), shingle) for t in b.column(1)]
-            fps = np.array([_fingerprints(p, FINGERPRINTS) for p in parts], np.uint64).reshape(-1, FINGERPRINTS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(set(p)) for p in parts], pa.int32()), *(pa.array(fps[:, i]) for i in range(FINGERPRINTS))], ["node", "n", *names])
+            fps = np.array([_fingerprints(p, FINGERPRINTS) for p in parts], np.uint64).reshape(-1).view(np.int64)
+            offsets = pa.array(np.arange(0, len(fps) + 1, FINGERPRINTS, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(set(p)) for p in parts], pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(fps))], ["node", "n", "fps"])
 
-    names = [f"fp{i}" for i in range(FINGERPRINTS)]
     rows = docs.select(node_of(text).alias("node"), F.col(text).alias("text"))
-    signed = staged(rows.mapInArrow(sign, "node long, n int, " + ", ".join(f"{c} long" for c in names)).distinct(), "signed")
-    close = None
-    for name in names:
-        one = signed.select(F.col(name).alias("fp"), "node", "n")
-        heads = staged(one.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("h")).select("fp", F.col("h.node").alias("node"), F.col("h.n").alias("n")), "heads")
-        same = one.select("fp", F.col("node").alias("b"), F.col("n").alias("m")).join(heads, "fp").where("node <> b").select(F.col("node").alias("a"), "b", "n", "m")
-        side = lambda fp, node, n, t=heads: t.select(F.col("fp").alias(fp), F.col("node").alias(node), F.col("n").alias(n))
-        far = _linked(heads, distance, hot).select(F.col("a").alias("fa"), F.col("b").alias("fb")).join(side("fa", "a", "n"), "fa").join(side("fb", "b", "m"), "fb").select("a", "b", "n", "m")
-        # Sets of too different sizes can't be similar enough.
-        found = same.unionByName(far).where(F.least("n", "m") >= least * F.greatest("n", "m")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        found = staged(found.distinct(), "pairs")
-        close = found if close is None else close.unionByName(found)
-    pairs = staged(close.distinct(), "pairs")
+    signed = staged(rows.mapInArrow(sign, "node long, n int, fps array<long>").dropDuplicates(["node"]), "signed")
+    one = signed.select("node", "n", F.posexplode("fps").alias("i", "fp"))
+    heads = staged(one.groupBy("i", "fp").agg(F.min(F.struct("n", "node")).alias("h")).select("i", "fp", "h.n", "h.node"), "heads")
+    # A text whose fingerprint is another's too is compared with the first.
+    same = one.select("i", "fp", F.col("node").alias("b"), F.col("n").alias("m")).join(heads, ["i", "fp"]).where("node <> b").select(F.col("node").alias("a"), "b", "n", "m")
+    size = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / -math.log(least) + 1e-9).cast("long")
+    room = size * FINGERPRINTS + F.col("i")
+    inside = heads.select("fp", F.array(room, room + FINGERPRINTS).alias("rooms"))
+    first = heads.where("i = 0")
+    sample = first.select("fp", size.alias("size")).orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()
+    plan = make_plan(sample["fp"].to_numpy(np.int64).view(np.uint64), first.count(), SURE_DISTANCE, _meeting(sample["size"].to_numpy(np.int64)))
+    side = lambda fp, node, n: heads.select(F.col("fp").alias(fp), F.col("node").alias(node), F.col("n").alias(n))
+    far = links(inside, plan, distance, hot).select(F.col("a").alias("fa"), F.col("b").alias("fb")).distinct()
+    far = far.join(side("fa", "a", "n"), "fa").join(side("fb", "b", "m"), "fb").select("a", "b", "n", "m")
+    found = same.unionByName(far).where(F.least("n", "m") >= least * F.greatest("n", "m")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = staged(found.where("a <> b").distinct(), "pairs")
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = staged(rows.join(used, "node", "left_semi").dropDuplicates(["node"]), "texts")
     return components(_verified(pairs, texts, shingle, least))
 
 
+def _meeting(sizes: np.ndarray) -> float:
+    """Share of pairs in one class, twice as they meet in two rooms, or in neighbouring ones."""
+    share = np.bincount(sizes) / max(1, len(sizes)) if len(sizes) else np.zeros(1)
+    return float(2 * (share**2).sum() + 2 * (share[1:] * share[:-1]).sum())
+
+
 def op5_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
