@@ -430,10 +430,13 @@ def similar_texts(docs: DataFrame, text: str = "text", distance: int = WIDE_DIST
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = [shingles(t.as_py(), shingle) for t in b.column(1)]
-            fps = np.array([_fingerprints(p, FINGERPRINTS) for p in parts], np.uint64).reshape(-1).view(np.int64)
-            offsets = pa.array(np.arange(0, len(fps) + 1, FINGERPRINTS, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(set(p)) for p in parts], pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(fps))], ["node", "n", "fps"])
+            fps, sizes = np.zeros((len(b), FINGERPRINTS), np.uint64), np.zeros(len(b), np.int32)
+            for i, t in enumerate(b.column(1)):
+                # One text at a time: the shingles of a batch would be many times its texts.
+                parts = shingles(t.as_py(), shingle)
+                fps[i], sizes[i] = _fingerprints(parts, FINGERPRINTS), len(set(parts))
+            offsets = pa.array(np.arange(0, fps.size + 1, FINGERPRINTS, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(fps.reshape(-1).view(np.int64)))], ["node", "n", "fps"])
 
     rows = docs.select(node_of(text).alias("node"), F.col(text).alias("text"))
     signed = staged(rows.mapInArrow(sign, "node long, n int, fps array<long>").dropDuplicates(["node"]), "signed")
