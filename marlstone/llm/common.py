@@ -85,3 +85,33 @@ def sealed(df: DataFrame) -> DataFrame:
     """The same rows behind a one-element generator, through which no later filter is pushed:
     array expressions below are then computed once a row, not once in every lambda."""
     return df.select(F.explode(F.array(F.struct("*"))).alias("_sealed")).select("_sealed.*")
+
+
+#: Blocks of a Bloom filter, of 32,768 bits each: 4 MB in all, however many keys it holds.
+FILTER_BLOCKS, FILTER_BITS = 1024, 32768
+
+
+def _bits_of(key: Column) -> list[Column]:
+    return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(FILTER_BITS)) for k in range(3)]
+
+
+def _block_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(FILTER_BLOCKS)).cast("int")
+
+
+def sifted(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """``rows`` and ``_may``: false only if ``key`` is not in the one column of ``keys``.
+
+    A blocked Bloom filter, at most FILTER_BLOCKS rows of 4 KB in a broadcast, so rows that a
+    join would drop needn't be shuffled for it. With more keys than it is made for, some
+    millions, it lets more rows through and nothing else changes.
+    """
+    (name,) = keys.columns
+    bits = keys.select(_block_of(F.col(name)).alias("_block"), F.explode(F.array(*_bits_of(F.col(name)))).alias("_bit"))
+    blocks = staged(bits.repartition("_block").groupBy("_block").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "filter")
+    joined = rows.withColumn("_block", _block_of(F.col(key))).join(F.broadcast(blocks), "_block", "left")
+    may = F.col("_bits").isNotNull()
+    for bit in _bits_of(F.col(key)):
+        byte = F.conv(F.hex(F.substring("_bits", (bit / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+        may = may & (byte.bitwiseAND(F.pow(F.lit(2), bit % 8).cast("int")) != 0)
+    return joined.withColumn("_may", F.coalesce(may, F.lit(False))).drop("_block", "_bits")

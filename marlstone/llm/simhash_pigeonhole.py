@@ -27,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, staged, text_or_empty
+from .common import documents, sifted, staged, text_or_empty
 from .components import components
 
 SHINGLE = 4
@@ -456,7 +456,8 @@ def similar_texts(docs: DataFrame, text: str = "text", distance: int = WIDE_DIST
     found = same.unionByName(far).where(F.least("n", "m") >= least * F.greatest("n", "m")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = staged(found.where("a <> b").distinct(), "pairs")
     used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = staged(rows.join(used, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    used = staged(used, "used")
+    texts = staged(sifted(rows, "node", used).where("_may").drop("_may").join(used, "node", "left_semi").dropDuplicates(["node"]), "texts")
     return components(_verified(pairs, texts, shingle, least))
 
 
