@@ -65,6 +65,17 @@ def test_redaction(spark):
     assert [one(spark, counts[k], t=text) for k in ("email", "phone", "card")] == [1, 1, 0]
 
 
+def test_redacted_text_is_that_of_its_sql(spark, tmp_path):
+    from compare import same
+
+    from marlstone.plans.registry import ORACLES, QUERIES
+
+    texts = ["a 4387393285946913 +1 (438) 555-5819 b", "94.182.225.142 +1 (705) 555-1902", "1234567890+1234567890", "1234567890x12 3456789012", "1234567890 1x", "+1 705 555 1902\n", "1234567890x1234567890y1234567890"]
+    texts += ["é4111111111111111", "4111-1111-1111-1111-", "4111 1111 1111 1111 x", "1\x0b234567890123", "1\u00a0705\u00a0555\u00a01902", "\u0661" * 12, "a@b.c +1 705 555 1902", "-1234567890", "1234567890-", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    same(QUERIES["redacted_text"](spark, str(tmp_path)), str(tmp_path), ORACLES["redacted_text"])
+
+
 def test_compartments(spark):
     c = tx.compartment_of(F.col("p"))
     assert [one(spark, c, p=p) for p in ("top.md", "garden/roses.pdf", "kitchen/a/b/menu.csv")] == ["public", "garden", "kitchen"]
