@@ -39,7 +39,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of texts that are equal, or linked by near copies:
-    fingerprints of five-word shingles propose them, a Jaccard similarity of 0.8 decides. Of a
+    a Jaccard similarity of 0.8 on five-word shingles decides, for all pairs. Of a
     group stays the text with the smallest id, once for that id. Rows are judged by their
     text: different texts under one id, or without one, are different documents; one without
     an id goes if a similar one has an id. Repeated rows stay once."""

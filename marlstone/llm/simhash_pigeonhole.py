@@ -42,6 +42,11 @@ _FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, FINGERPRINTS, np.uin
 _SHIFTS = np.arange(30, 30 + FINGERPRINTS, dtype=np.uint64)
 #: Fingerprints that candidate counts are estimated on, at most.
 SAMPLE = 4096
+#: Texts, about, and shingles, at most, that tell which shingles are common. That sets the order
+#: of a text's shingles, on which the work depends and no result.
+ORDER_TEXTS, ORDER_SHINGLES = 1 << 14, 200_000
+#: Texts of one shingle from which its pairs are made by a join, of what is not linked yet.
+CROWD = 128
 #: What one candidate costs in units of one row of the index.
 PAIR_COST = 0.02
 #: Members of a bucket from which it is dealt out in blocks, and members of a block.
@@ -415,17 +420,154 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
     return staged(both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "similar")
 
 
+def _decided(pairs: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Those of the staged pairs (a, b) that are similar, by the texts of ``rows``."""
+    used = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "used")
+    texts = staged(sifted(rows, "node", used).where("_may").drop("_may").join(used, "node", "left_semi").dropDuplicates(["node"]), "texts")
+    return _verified(pairs, texts, shingle, least)
+
+
+def _hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The set of a text's shingles, hashed and sorted."""
+    from xxhash import xxh64_intdigest
+
+    return np.unique(np.array([xxh64_intdigest(s, SEED) for s in shingles(text, shingle)], np.uint64))
+
+
+def _common(rows: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, in how many) of shingles in several of about ORDER_TEXTS of n texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_hashes(t.as_py(), shingle) for t in b.column(1)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["token"])
+
+    some = rows.where(F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 30)) < int(min(1.0, ORDER_TEXTS / max(1, n)) * (1 << 30)))
+    counted = some.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    found = counted.orderBy(F.desc("n"), "token").limit(ORDER_SHINGLES).toPandas()
+    token, often = found["token"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.argsort(token)
+    return token[order], often[order]
+
+
+def _unlinked(rows: DataFrame, linked: DataFrame, n: int, shingle: int, least: float) -> DataFrame:
+    """(a, b), staged: all pairs of texts (node, text) in different components of ``linked``
+    that may have the similarity.
+
+    Two sets of n and m shingles with a similarity of t have t * max(n, m) in common or more.
+    So, in any one order of all shingles, the first n - ceil(t * n) + 1 of one and as many of
+    the other have one in common (prefix filter), and those in common there and what stands
+    behind them are at least t / (1 + t) * (n + m). Rare shingles come first, which keeps
+    buckets small; of larger ones only what is not linked meets. Texts without a shingle are
+    alike.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(_common(rows, n, shingle))
+    prefix = lambda k: k - math.ceil(least * k - 1e-9) + 1
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, often = shared.value
+
+        def flush() -> pa.RecordBatch:
+            node, size = (np.repeat(np.array(x, kind), [len(p) for p in parts]) for x, kind in ((nodes, np.int64), (counts, np.int32)))
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(node), pa.array(size)], ["token", "node", "n"])
+            for x in (parts, nodes, counts):
+                x.clear()
+            return out
+
+        parts, nodes, counts, held = [], [], [], 0
+        for b in batches:
+            for node, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                own = _hashes(t.as_py(), shingle)
+                size = len(own)
+                if not size:
+                    own = np.zeros(1, np.uint64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    own = own[np.argsort(np.where(known[at] == own, often[at], 0), kind="stable")]
+                parts.append(own[: prefix(size)].copy())
+                nodes.append(node)
+                counts.append(size)
+                held += len(parts[-1])
+                if held > 1 << 16:
+                    yield flush()
+                    held = 0
+        if parts:
+            yield flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of small buckets; of others the members themselves, as (node, token)."""
+
+        def pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+            new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
+            token, node, size = token[new], node[new], size[new]
+            at, lag, out = np.arange(len(token)), 0, []
+            while len(at):
+                lag += 1
+                at = at[at < len(token) - lag]
+                # Sizes rise within a bucket: what is too large at one lag is so at all later ones.
+                at = at[(token[at] == token[at + lag]) & (size[at] >= least * size[at + lag] - 1e-9)]
+                a, b = node[at], node[at + lag]
+                out.append((np.minimum(a, b), np.maximum(a, b), size[at], size[at + lag]))
+            return batch(*(np.concatenate(x) for x in zip(*out, strict=True)), False)
+
+        def batch(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, crowd: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n), pa.array(m), pa.array(np.full(len(a), crowd))], ["a", "b", "n", "m", "crowd"])
+
+        token = node = np.zeros(0, np.int64)
+        size = np.zeros(0, np.int32)
+        over = None  # the shingle of a crowd under way
+        for b in batches:
+            token, node, size = (np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip((token, node, size), b.columns, strict=True))
+            if not len(token):
+                continue
+            starts = np.nonzero(np.r_[True, token[1:] != token[:-1]])[0]
+            sizes = np.diff(np.r_[starts, len(token)])
+            crowd = sizes > CROWD
+            if over is not None and token[0] == over:
+                crowd[0] = True
+            many = np.repeat(crowd, sizes)
+            yield batch(node[many], token[many], size[many], size[many], True)
+            over = token[-1] if crowd[-1] else None
+            # The last bucket may go on in the next batch.
+            last = starts[-1] if over is None else len(token)
+            few = ~many[:last]
+            if few.any():
+                yield pairs(token[:last][few], node[:last][few], size[:last][few])
+            token, node, size = token[last:], node[last:], size[last:]
+        if len(token):
+            yield pairs(token, node, size)
+
+    begun = rows.select("node", "text").mapInArrow(begin, "token long, node long, n int")
+    met = staged(begun.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(meet, "a long, b long, n int, m int, crowd boolean"), "met")
+    home = lambda x: linked.select(F.col("node").alias(x), F.col("component").alias(f"{x}_in"))
+    apart = F.coalesce(F.col("a_in"), F.col("a")) != F.coalesce(F.col("b_in"), F.col("b"))
+    plain = met.where("not crowd").groupBy("a", "b").agg(F.count("*").alias("c"), F.max(F.struct("n", "m")).alias("s")).select("a", "b", "c", "s.n", "s.m")
+    plain = plain.join(home("a"), "a", "left").join(home("b"), "b", "left").where(apart).select("a", "b", "n", "m", "c")
+    crowd = staged(met.where("crowd").select("a", F.col("b").alias("token"), "n").distinct().join(home("a"), "a", "left").withColumn("a_in", F.coalesce("a_in", "a")), "crowd")
+    mixed = crowd.groupBy("token").agg((F.min("a_in") < F.max("a_in")).alias("mixed")).where("mixed").select("token")
+    x = crowd.join(mixed, "token", "left_semi")
+    y = x.select("token", F.col("a").alias("b"), F.col("n").alias("m"), F.col("a_in").alias("b_in"))
+    fits = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9
+    dense = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("a_in") != F.col("b_in")) & fits).groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"))
+    both = plain.select("a", "b", F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m"), "c").unionByName(dense.select("a", "b", F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m"), "c"))
+    # Behind the shorter or the longer beginning, whichever ends first in the order.
+    behind = F.greatest(*(F.ceil(F.lit(least) * F.col(k) - 1e-9) - 1 for k in ("n", "m")))
+    enough = F.sum("c") + behind >= least / (1 + least) * (F.col("n") + F.col("m")) - 1e-6
+    return staged(both.groupBy("a", "b", "n", "m").agg(enough.alias("_enough")).where("_enough").select("a", "b"), "unlinked")
+
+
 def similar_texts(docs: DataFrame, text: str = "text", distance: int = WIDE_DISTANCE, shingle: int = WIDE_SHINGLE, least: float = SIMILARITY, hot: int = HOT) -> DataFrame:
-    """(node, component) of every text that has a near copy: fingerprints propose pairs, and
-    sets of shingles decide, by a Jaccard similarity of ``least``.
-
-    Proposed is every pair with one of FINGERPRINTS within SURE_DISTANCE bits, and of those up
-    to ``distance`` whatever agrees in a group of the plan. Only sets whose sizes allow the
-    similarity come together: sizes fall into classes by powers of 1 / least, and a text
-    meets those of its own and of the next class. Every link is exact. What fingerprints
-    propose is a spanning forest of the closest links, so groups of any size give at most one
-    pair per text and task; the share of similar pairs that end up together is measured, not
-    guaranteed (see the README).
+    """(node, component) of every text that has a near copy: two texts are linked if their sets
+    of shingles have a Jaccard similarity of ``least``, and no link is left out.
+
+    First, fingerprints propose every pair with one of FINGERPRINTS within SURE_DISTANCE bits,
+    and of those up to ``distance`` whatever agrees in a group of the plan. Only sets whose
+    sizes allow the similarity come together: sizes fall into classes by powers of 1 / least,
+    and a text meets those of its own and of the next class. This is a spanning forest of the
+    closest links, so groups of any size give at most one pair per text and task. Then
+    ``_unlinked`` gives all other pairs that may be similar and are not in one component yet.
+    Both are decided by the shingles themselves.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -455,10 +597,10 @@ def similar_texts(docs: DataFrame, text: str = "text", distance: int = WIDE_DIST
     far = far.join(side("fa", "a", "n"), "fa").join(side("fb", "b", "m"), "fb").select("a", "b", "n", "m")
     found = same.unionByName(far).where(F.least("n", "m") >= least * F.greatest("n", "m")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = staged(found.where("a <> b").distinct(), "pairs")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    used = staged(used, "used")
-    texts = staged(sifted(rows, "node", used).where("_may").drop("_may").join(used, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    return components(_verified(pairs, texts, shingle, least))
+    near = _decided(pairs, rows, shingle, least)
+    linked = components(near)
+    rest = _decided(_unlinked(rows, linked, signed.count(), shingle, least), rows, shingle, least)
+    return linked if rest.isEmpty() else components(near.unionByName(rest))
 
 
 def _meeting(sizes: np.ndarray) -> float:

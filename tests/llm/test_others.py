@@ -492,6 +492,32 @@ def test_pipeline_drops_near_copies(spark, seed):
     assert want <= got and len(got - want) <= 0.1 * (len(docs) - len(want))
 
 
+@pytest.mark.parametrize("fingerprints_, crowd", [(True, 128), (True, 2), (False, 2)])
+def test_no_near_copy_is_left_out(spark, monkeypatch, fingerprints_, crowd):
+    import corpus_pipeline as cp
+
+    monkeypatch.setattr(sp, "CROWD", crowd)
+    if not fingerprints_:  # as if they had proposed nothing
+        monkeypatch.setattr(sp, "links", lambda rows, *_: rows.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false"))
+    r = random.Random(5)
+    words = lambda n: [f"w{r.randrange(900)}" for _ in range(n)]
+    texts = [t for _, t in near_corpus(1)]
+    for _ in range(40):  # pairs just at the limit, and a passage that all of them hold
+        base = words(r.randint(6, 60))
+        end = max(1, round(len(base) * r.choice([0.1, 0.15, 0.2, 0.25])))
+        texts += [" ".join(base), " ".join(base[:-end]), " ".join(base[end:])]
+    line = words(12)
+    texts += [" ".join(words(r.randint(0, 6)) + line) for _ in range(20)]
+    docs = list(enumerate(texts, 1))
+    got = sorted(r["doc_id"] for r in cp.drop_near_duplicates(spark, table(spark, docs), None).collect())
+    assert got == brute_kept(docs)
+
+
+def test_texts_without_words_are_near_copies(spark):
+    found = sp.similar_texts(table(spark, [(1, ""), (2, None), (3, " "), (4, "\n"), (5, "a b"), (6, "A  b")]))
+    assert sorted(len(list(g)) for _, g in __import__("itertools").groupby(sorted(r["component"] for r in found.collect()))) == [2, 3]
+
+
 def test_pipeline_keeps_texts_with_null_or_reused_ids(spark):
     import corpus_pipeline as cp
 
