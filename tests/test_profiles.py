@@ -1,11 +1,12 @@
 """Profiles, pairs, evaluation and planning on literal tables."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import calc, evaluate, pairs, profiles
+from marlstone.operators import calc, evaluate, index, pairs, profiles
 
 
 def test_clusters(spark):
@@ -115,3 +116,36 @@ def test_bundles(spark):
     was = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, sha256 string")
     now = spark.createDataFrame([("a", "1"), ("b", "x"), ("d", "4")], "path string, sha256 string")
     assert {tuple(r) for r in calc.bundle_verify(was, now).collect()} == {("b", "changed"), ("c", "missing"), ("d", "extra")}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_terms_and_places_stay_where_their_text_is(spark):
+    docs = spark.createDataFrame([(1, "a b a", "x"), (1, "a c", "x"), (2, "b c d", "y"), (3, None, "y")], "row long, text string, skill string")
+    counts = index.term_counts(docs)
+    assert sorted(map(tuple, counts.collect())) == [(1, "a", 3), (1, "b", 1), (1, "c", 1), (2, "b", 1), (2, "c", 1), (2, "d", 1)]
+    for df in (counts, index.hash_vectors(docs)):
+        dealt = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan_of(df))
+        assert dealt and all(re.match(r"row#\d+L?, \d+$", x) for x in dealt)
+
+
+def test_links_of_some_rows(spark, sf):
+    chunks = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("row"), "text")
+    n, counts = chunks.count(), index.term_counts(chunks).persist()
+    idf = index.smooth_idf(counts, n)
+    rows = chunks.where("row % 7 = 0").select("row")
+    some = sorted(map(tuple, index.links_of(rows, counts, idf, n).select("src", "dst", "weight", "rank").collect()))
+    every = index.links(counts, idf, n).where("src % 7 = 0").select("src", "dst", "weight", "rank")
+    assert some == sorted(map(tuple, every.collect())) and some
+
+
+def test_weights_of_labels_are_summed_where_their_terms_are(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b {i % 3} c{i % 4}", "xy"[i % 2]) for i in range(20)] + [(20, "a b", None)], "row long, text string, skill string")
+    rows = lambda df: sorted((r["skill"], r["term"], round(r["weight"], 9)) for r in df.collect())
+    cents, idf = profiles.centroids(docs, "skill")
+    assert "hashpartitioning(skill" not in "".join(x for x in plan_of(cents).splitlines() if "term#" in x)
+    monkeypatch.setattr(index, "NORMS", 0)  # as for more rows than are sent to all tasks
+    monkeypatch.setattr(profiles, "LABELS", 0)
+    assert rows(cents) == rows(profiles.centroids(docs, "skill")[0]) and rows(cents)
