@@ -451,6 +451,21 @@ def _common(rows: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarr
     return token[order], often[order]
 
 
+def _crowd_pairs(crowd: DataFrame, least: float) -> DataFrame:
+    """(a, b, n, m) of members (token, a, n, at, a_in) of large buckets: pairs of different
+    components of which one shingle may be the first in common."""
+    # The largest size of a text with which the shingle may be that.
+    reach = (F.col("n") - F.col("at") + 1e-6) * ((1 + least) / least) - F.col("n")
+    # A shingle whose members are in one component by now, or reach none of the others, has no pairs.
+    small = crowd.groupBy("token").agg(F.min("n").alias("small"))
+    fit = crowd.withColumn("reach", reach).join(small, "token").where("reach >= small").drop("small")
+    mixed = fit.groupBy("token").agg((F.min("a_in") < F.max("a_in")).alias("mixed")).where("mixed").select("token")
+    x = fit.join(mixed, "token", "left_semi")
+    y = x.select("token", F.col("a").alias("b"), F.col("n").alias("m"), F.col("a_in").alias("b_in"), F.col("reach").alias("b_reach"))
+    fits = (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9) & (F.col("reach") >= F.col("m")) & (F.col("b_reach") >= F.col("n"))
+    return x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("a_in") != F.col("b_in")) & fits).select("a", "b", "n", "m").distinct()
+
+
 def _unlinked(rows: DataFrame, linked: DataFrame, n: int, shingle: int, least: float) -> DataFrame:
     """(a, b), staged: all pairs of texts (node, text) in different components of ``linked``
     that may have the similarity.
@@ -459,8 +474,10 @@ def _unlinked(rows: DataFrame, linked: DataFrame, n: int, shingle: int, least: f
     So, in any one order of all shingles, the first n - ceil(t * n) + 1 of one and as many of
     the other have one in common (prefix filter), and those in common there and what stands
     behind them are at least t / (1 + t) * (n + m). Rare shingles come first, which keeps
-    buckets small; of larger ones only what is not linked meets. Texts without a shingle are
-    alike.
+    buckets small. Of larger ones only what is not linked meets, and only where both have
+    enough behind their first common shingle: before it stand i and j of their own, so
+    n - i and m - j are t / (1 + t) * (n + m) or more. A copy with too many shingles of its own
+    in front thus leaves the bucket before anything is paired. Texts without a shingle are alike.
     """
     shared = rows.sparkSession.sparkContext.broadcast(_common(rows, n, shingle))
     prefix = lambda k: k - math.ceil(least * k - 1e-9) + 1
@@ -470,7 +487,8 @@ def _unlinked(rows: DataFrame, linked: DataFrame, n: int, shingle: int, least: f
 
         def flush() -> pa.RecordBatch:
             node, size = (np.repeat(np.array(x, kind), [len(p) for p in parts]) for x, kind in ((nodes, np.int64), (counts, np.int32)))
-            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(node), pa.array(size)], ["token", "node", "n"])
+            at = np.concatenate([np.arange(len(p), dtype=np.int32) for p in parts])
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts).view(np.int64)), pa.array(node), pa.array(size), pa.array(at)], ["token", "node", "n", "at"])
             for x in (parts, nodes, counts):
                 x.clear()
             return out
@@ -496,11 +514,11 @@ def _unlinked(rows: DataFrame, linked: DataFrame, n: int, shingle: int, least: f
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of small buckets; of others the members themselves, as (node, token)."""
+        """Pairs of small buckets; of others the members themselves, as (node, token, n, place)."""
 
-        def pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+        def pairs(token: np.ndarray, node: np.ndarray, size: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
             new = np.r_[True, (token[1:] != token[:-1]) | (node[1:] != node[:-1])]
-            token, node, size = token[new], node[new], size[new]
+            token, node, size, rest = token[new], node[new], size[new], (size - place)[new]
             at, lag, out = np.arange(len(token)), 0, []
             while len(at):
                 lag += 1
@@ -508,17 +526,18 @@ def _unlinked(rows: DataFrame, linked: DataFrame, n: int, shingle: int, least: f
                 # Sizes rise within a bucket: what is too large at one lag is so at all later ones.
                 at = at[(token[at] == token[at + lag]) & (size[at] >= least * size[at + lag] - 1e-9)]
                 a, b = node[at], node[at + lag]
-                out.append((np.minimum(a, b), np.maximum(a, b), size[at], size[at + lag]))
+                first = np.minimum(rest[at], rest[at + lag]) >= least / (1 + least) * (size[at] + size[at + lag]) - 1e-6
+                out.append((np.minimum(a, b), np.maximum(a, b), size[at], size[at + lag], first))
             return batch(*(np.concatenate(x) for x in zip(*out, strict=True)), False)
 
-        def batch(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, crowd: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n), pa.array(m), pa.array(np.full(len(a), crowd))], ["a", "b", "n", "m", "crowd"])
+        def batch(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, first: np.ndarray, crowd: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n), pa.array(m), pa.array(first), pa.array(np.full(len(a), crowd))], ["a", "b", "n", "m", "first", "crowd"])
 
         token = node = np.zeros(0, np.int64)
-        size = np.zeros(0, np.int32)
+        size = place = np.zeros(0, np.int32)
         over = None  # the shingle of a crowd under way
         for b in batches:
-            token, node, size = (np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip((token, node, size), b.columns, strict=True))
+            token, node, size, place = (np.concatenate([x, c.to_numpy(zero_copy_only=False)]) for x, c in zip((token, node, size, place), b.columns, strict=True))
             if not len(token):
                 continue
             starts = np.nonzero(np.r_[True, token[1:] != token[:-1]])[0]
@@ -527,34 +546,36 @@ def _unlinked(rows: DataFrame, linked: DataFrame, n: int, shingle: int, least: f
             if over is not None and token[0] == over:
                 crowd[0] = True
             many = np.repeat(crowd, sizes)
-            yield batch(node[many], token[many], size[many], size[many], True)
+            yield batch(node[many], token[many], size[many], place[many], many[many], True)
             over = token[-1] if crowd[-1] else None
             # The last bucket may go on in the next batch.
             last = starts[-1] if over is None else len(token)
             few = ~many[:last]
             if few.any():
-                yield pairs(token[:last][few], node[:last][few], size[:last][few])
-            token, node, size = token[last:], node[last:], size[last:]
+                yield pairs(token[:last][few], node[:last][few], size[:last][few], place[:last][few])
+            token, node, size, place = token[last:], node[last:], size[last:], place[last:]
         if len(token):
-            yield pairs(token, node, size)
+            yield pairs(token, node, size, place)
 
-    begun = rows.select("node", "text").mapInArrow(begin, "token long, node long, n int")
-    met = staged(begun.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(meet, "a long, b long, n int, m int, crowd boolean"), "met")
+    begun = rows.select("node", "text").mapInArrow(begin, "token long, node long, n int, at int")
+    met = staged(begun.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(meet, "a long, b long, n int, m int, first boolean, crowd boolean"), "met")
     home = lambda x: linked.select(F.col("node").alias(x), F.col("component").alias(f"{x}_in"))
     apart = F.coalesce(F.col("a_in"), F.col("a")) != F.coalesce(F.col("b_in"), F.col("b"))
-    plain = met.where("not crowd").groupBy("a", "b").agg(F.count("*").alias("c"), F.max(F.struct("n", "m")).alias("s")).select("a", "b", "c", "s.n", "s.m")
-    plain = plain.join(home("a"), "a", "left").join(home("b"), "b", "left").where(apart).select("a", "b", "n", "m", "c")
-    crowd = staged(met.where("crowd").select("a", F.col("b").alias("token"), "n").distinct().join(home("a"), "a", "left").withColumn("a_in", F.coalesce("a_in", "a")), "crowd")
-    mixed = crowd.groupBy("token").agg((F.min("a_in") < F.max("a_in")).alias("mixed")).where("mixed").select("token")
-    x = crowd.join(mixed, "token", "left_semi")
-    y = x.select("token", F.col("a").alias("b"), F.col("n").alias("m"), F.col("a_in").alias("b_in"))
-    fits = F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9
-    dense = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("a_in") != F.col("b_in")) & fits).groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"))
-    both = plain.select("a", "b", F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m"), "c").unionByName(dense.select("a", "b", F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m"), "c"))
+    plain = met.where("not crowd").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("first").alias("first"), F.max(F.struct("n", "m")).alias("s")).select("a", "b", "c", "first", "s.n", "s.m")
+    plain = plain.join(home("a"), "a", "left").join(home("b"), "b", "left").where(apart).select("a", "b", "n", "m", "c", "first")
+    crowd = met.where("crowd").select("a", F.col("b").alias("token"), "n", F.col("m").alias("at")).distinct()
+    crowd = staged(crowd.join(home("a"), "a", "left").withColumn("a_in", F.coalesce("a_in", "a")), "crowd")
+    dense = _crowd_pairs(crowd, least).withColumns({"c": F.lit(0).cast("long"), "first": F.lit(True)})
+    # Of large buckets two texts share no more than the one that is in fewer of them.
+    crowds = crowd.groupBy("a").agg(F.count("*").alias("k"))
+    of = lambda x: crowds.select(F.col("a").alias(x), F.col("k").alias(f"{x}_k"))
+    both = plain.unionByName(dense).select("a", "b", F.least("n", "m").alias("n"), F.greatest("n", "m").alias("m"), "c", "first").groupBy("a", "b", "n", "m").agg(F.sum("c").alias("c"), F.max("first").alias("first")).where("first")
+    both = both.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    common = F.col("c") + F.least(F.coalesce("a_k", F.lit(0)), F.coalesce("b_k", F.lit(0)))
     # Behind the shorter or the longer beginning, whichever ends first in the order.
     behind = F.greatest(*(F.ceil(F.lit(least) * F.col(k) - 1e-9) - 1 for k in ("n", "m")))
-    enough = F.sum("c") + behind >= least / (1 + least) * (F.col("n") + F.col("m")) - 1e-6
-    return staged(both.groupBy("a", "b", "n", "m").agg(enough.alias("_enough")).where("_enough").select("a", "b"), "unlinked")
+    enough = common + behind >= least / (1 + least) * (F.col("n") + F.col("m")) - 1e-6
+    return staged(both.where(enough).select("a", "b"), "unlinked")
 
 
 def similar_texts(docs: DataFrame, text: str = "text", distance: int = WIDE_DISTANCE, shingle: int = WIDE_SHINGLE, least: float = SIMILARITY, hot: int = HOT) -> DataFrame:

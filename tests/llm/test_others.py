@@ -513,6 +513,21 @@ def test_no_near_copy_is_left_out(spark, monkeypatch, fingerprints_, crowd):
     assert got == brute_kept(docs)
 
 
+def test_crowds_pair_only_what_may_be_alike(spark):
+    # A group of near copies, others with so many shingles of their own in front that nothing
+    # behind can be enough, and three that may still be near.
+    rows = [(7, i, 144, i % 5, 0) for i in range(200)] + [(7, i, 144, 20, i) for i in range(200, 350)] + [(7, i, 144, 10, i) for i in range(350, 353)]
+    rows += [(8, i, 144, 6, 0) for i in range(200)] + [(8, 400, 110, 6, 400), (9, 500, 5, 0, 500), (9, 501, 5, 1, 501), (9, 502, 6, 0, 502)]
+    crowd = spark.createDataFrame(rows, "token long, a long, n int, at int, a_in long")
+    got = {(r["a"], r["b"]) for r in sp._crowd_pairs(crowd, 0.8).collect()}
+
+    def may(n, i, m, j):
+        return min(n, m) >= 0.8 * max(n, m) and min(n - i, m - j) >= (n + m) * 4 / 9
+
+    want = {(a, b) for t, a, n, i, x in rows for u, b, m, j, y in rows if t == u and a < b and x != y and may(n, i, m, j)}
+    assert got == want and len(got) == 3 * 200 + 3 + 1
+
+
 def test_texts_without_words_are_near_copies(spark):
     found = sp.similar_texts(table(spark, [(1, ""), (2, None), (3, " "), (4, "\n"), (5, "a b"), (6, "A  b")]))
     assert sorted(len(list(g)) for _, g in __import__("itertools").groupby(sorted(r["component"] for r in found.collect()))) == [2, 3]
