@@ -43,9 +43,11 @@ KMER = 20
 SPAN = LENGTH - KMER + 1
 AROUND = LENGTH + SPAN - 1
 #: Bytes of text handled at once, under 2^24; small enough for a processor's cache.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+#: Rows of a batch whose texts are held as bytes at once.
+ROWS = 512
 #: Anchors, and surroundings, gathered before they are dealt out.
-GATHER, GATHER_AROUND = 1 << 20, 1 << 17
+GATHER, GATHER_AROUND = 1 << 18, 1 << 17
 #: Bytes of one index.
 SLAB = 2 << 20
 #: Documents with one anchor from which its windows are dealt out one by one: at least
@@ -195,6 +197,12 @@ def _encoded(column: pa.Array) -> list[bytes]:
     return [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in column]
 
 
+def _in_slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of ROWS rows after the other."""
+    for at in range(0, len(column), ROWS):
+        yield at, _encoded(column.slice(at, ROWS))
+
+
 def _group_edges(*columns: np.ndarray) -> np.ndarray:
     """First rows of groups, of sorted columns."""
     if not len(columns[0]):
@@ -214,19 +222,21 @@ def shared_anchors(docs: DataFrame, parts: int, hot: int) -> DataFrame:
         turn, held, n = 0, [], 0
         for b in batches:
             ids, tags = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            texts = _encoded(b.column(2))
             # Of equal texts the smallest id offers: the others can't be the copy that stays.
             least: dict[bytes, int] = {}
-            for i, t in enumerate(texts):
-                if ids[i] < ids[least.setdefault(t, i)]:
-                    least[t] = i
-            once = [least[t] == i for i, t in enumerate(texts)]
-            for a in anchors([t if ok else b"" for t, ok in zip(texts, once, strict=True)]):
-                held.append((ids[a.row], tags[a.row], a.key))
-                n += len(a.key)
-                if n >= GATHER:
-                    yield from _offered(held, parts, turn)
-                    turn, held, n = turn + 1, [], 0
+            for at, texts in _in_slices(b.column(2)):
+                for i, t in enumerate(texts, at):
+                    name = hashlib.sha256(t).digest()
+                    if ids[i] < ids[least.setdefault(name, i)]:
+                        least[name] = i
+            once = set(least.values())
+            for at, texts in _in_slices(b.column(2)):
+                for a in anchors([t if i in once else b"" for i, t in enumerate(texts, at)]):
+                    held.append((ids[at + a.row], tags[at + a.row], a.key))
+                    n += len(a.key)
+                    if n >= GATHER:
+                        yield from _offered(held, parts, turn)
+                        turn, held, n = turn + 1, [], 0
         if held:
             yield from _offered(held, parts, turn)
 
@@ -462,7 +472,8 @@ def repeat_marks(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
             wanted, offsets = b.column(3).flatten().to_numpy(zero_copy_only=False), b.column(3).offsets.to_numpy()
             offsets = offsets - offsets[0]
             want = np.sort(_pair(np.repeat(np.arange(len(ids)), np.diff(offsets)), wanted))
-            for a in anchors(_encoded(b.column(2))):
+            for first, a in ((first, a) for first, texts in _in_slices(b.column(2)) for a in anchors(texts)):
+                a.row += first
                 name = _short(a.key, parts)
                 pair = _pair(a.row, name)
                 keep = want[np.minimum(np.searchsorted(want, pair), len(want) - 1)] == pair if len(want) else np.zeros(len(pair), bool)
@@ -480,7 +491,7 @@ def repeat_marks(docs: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
                 for at_ in range(0, len(row), GATHER_AROUND):
                     r = slice(at_, at_ + GATHER_AROUND)
                     size = n[r] + LENGTH - 1
-                    place = np.minimum(at[r][:, None] + np.arange(AROUND)[None, :], len(a.bytes) - 1)
+                    place = np.minimum(at[r].astype(np.int32)[:, None] + np.arange(AROUND, dtype=np.int32)[None, :], np.int32(len(a.bytes) - 1))
                     around = a.bytes[place]
                     around[np.arange(AROUND)[None, :] >= size[:, None]] = 0
                     held.append((around, size, key[r], ids[row[r]], tags[row[r]], start[r]))

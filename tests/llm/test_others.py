@@ -87,6 +87,33 @@ def test_repeats_in_pieces(spark, monkeypatch):
     assert whole == {(i, s) for i, t in enumerate(texts) for s in range(len(t) - 49)} and len(want) == len(docs)
 
 
+def test_offering_anchors_holds_little_at_once(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    class Rows:  # keeps the first function that it is given
+        run = None
+
+        def mapInArrow(self, run, schema):
+            self.run = self.run or run
+            return self
+
+        select = repartition = sortWithinPartitions = lambda self, *_: self
+
+    rows = Rows()
+    monkeypatch.setattr(ri, "staged", lambda df, name: df)
+    ri.shared_anchors(rows, 12, 5000)
+    text = pa.array([np.random.default_rng(i).integers(97, 123, 2000, np.uint8).tobytes().decode() for i in range(6000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6000)), pa.array(np.zeros(6000, np.int64)), text], ["doc", "tag", "text"])
+    tracemalloc.start()
+    assert sum(1 for _ in rows.run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6, peak
+
+
 def test_repeats_of_repeated_rows_and_no_rows(spark):
     t = "the same long sentence of more than fifty bytes stands here twice over"
     assert all(r["n_removed"] == 0 for r in ri.remove_repeats(table(spark, [(1, t), (1, t)])).collect())
