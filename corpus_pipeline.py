@@ -32,9 +32,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     language contains too few of their n-grams. A missing label is filled in. If no row has a
     label there is nothing to learn from and all documents go."""
     filters = language_filters.fit(docs.where(~language_filters.held_out()))
-    found = language_filters.identify(_apart(docs, F.col("text")), filters)
+    # Texts go to Python and back once: the row beside them has none.
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *rest).alias("_row"), F.col("text"))
+    found = language_filters.identify(rows, filters)
     kept = found.where((F.col("lang_pred") != "und") & (F.col("known_share") >= LEAST_KNOWN))
-    return _whole(kept, docs, lang=F.coalesce(F.col("_row")["lang"], F.col("lang_pred")))
+    return _whole(kept, docs, text=F.col("text"), lang=F.coalesce(F.col("_row")["lang"], F.col("lang_pred")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

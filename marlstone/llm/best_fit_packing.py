@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, staged
+from .common import TEXT_BATCH, documents, lean, staged
 
 LENGTH = 2048
 OPEN_BINS = 2048
@@ -57,12 +57,12 @@ def encoder(path: str) -> Callable[[str], list[int]]:
     ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    slow = Tokenizer.from_file(path)
+    slow = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(path))  # few texts need it, and it is large
 
     def encode(text: str) -> list[int]:
         # The fast library's patterns recurse over white space, too deep in a long run of it.
         if any(s in text for s in special) or _LONG_SPACE.search(text):
-            return slow.encode(text, add_special_tokens=False).ids
+            return slow().encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
@@ -144,7 +144,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, open_bins: int =
         if key_type is not None:
             yield batch([], key_type, [(0, 0, used, 0, number, 0) for number, used in bins.open()], True)
 
-    packed = staged(docs.select(key, text).mapInArrow(first, schema), "packing")
+    packed = staged(docs.select(key, text).mapInArrow(lean(first), schema), "packing", TEXT_BATCH)
 
     names = [key, "piece", "start", "length", "ids_crc32"]
 
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, open_bins: int =
     pieces = packed.where("not open")
     closed = pieces.join(left, "bin", "left_anti").select(*names, F.col("bin").alias("sequence_id"), "offset")
     rest = pieces.join(left, "bin", "left_semi").repartition(parts, "bin").select(*names).sortWithinPartitions(F.desc("length"), key, "start")
-    return closed.unionByName(rest.mapInArrow(again, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))
+    return closed.unionByName(rest.mapInArrow(lean(again), f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, staged
+from .common import documents, lean, staged
 
 SIZES = (2, 3, 4)
 #: Documents read for fitting, and n-grams kept, of each language.
@@ -157,7 +157,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                         values, n = np.unique(h.view(np.int64), return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(values), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
 
-    counts = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
     rated = counts.withColumn("rate", share).withColumn("top", F.max("rate").over(Window.partitionBy("gram")))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
@@ -204,7 +204,7 @@ def identify(docs: DataFrame, filters: Filters, text: str = "text", pred: str =
             langs, *numbers = predict(b.column(at).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), *(pa.array(n, pa.float64()) for n in numbers)], [*names, pred, score, known])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.select(*names).mapInArrow(lean(run), schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

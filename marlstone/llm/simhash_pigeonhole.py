@@ -27,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, sifted, staged, text_or_empty
+from .common import TEXT_BATCH, documents, lean, sifted, staged, text_or_empty
 from .components import components
 
 SHINGLE = 4
@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
             fp = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], [key, "fp"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, fp long")
+    return docs.select(key, text).mapInArrow(lean(run), f"`{key}` {kind}, fp long")
 
 
 @dataclass(frozen=True)
@@ -339,8 +339,8 @@ def links(distinct: DataFrame, plan: Plan, distance: int = DISTANCE, hot: int =
         for a, b in zip(out.a, out.b, strict=True):
             yield _table(a, b, False)
 
-    rows = distinct.select("fp", *(["rooms"] if roomy else [])).mapInArrow(probe, "key long, fp long")
-    found = staged(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(verify, "a long, b long, hot boolean"), "links")
+    rows = distinct.select("fp", *(["rooms"] if roomy else [])).mapInArrow(lean(probe), "key long, fp long")
+    found = staged(rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lean(verify), "a long, b long, hot boolean"), "links")
     plain, rest = found.where("not hot").select("a", "b"), found.where("hot").select(F.col("a").alias("fp"), F.col("b").alias("key")).distinct()
     if rest.isEmpty():
         return plain
@@ -375,7 +375,7 @@ def _hot_links(rows: DataFrame, distance: int, size: int) -> DataFrame:
         for a, b in zip(out.a, out.b, strict=True):
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(verify, "a long, b long")
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(lean(verify), "a long, b long")
 
 
 def _linked(distinct: DataFrame, distance: int, hot: int) -> DataFrame:
@@ -417,7 +417,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) ->
                 hit.append(common >= least * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    return staged(both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long"), "similar")
+    return staged(both.select("a", "b", "s", "t").mapInArrow(lean(run), "a long, b long"), "similar", TEXT_BATCH)
 
 
 def _decided(pairs: DataFrame, rows: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -444,7 +444,7 @@ def _common(rows: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarr
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["token"])
 
     some = rows.where(F.pmod(F.xxhash64("node", F.lit(SEED)), F.lit(1 << 30)) < int(min(1.0, ORDER_TEXTS / max(1, n)) * (1 << 30)))
-    counted = some.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    counted = some.mapInArrow(lean(run), "token long").groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     found = counted.orderBy(F.desc("n"), "token").limit(ORDER_SHINGLES).toPandas()
     token, often = found["token"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
     order = np.argsort(token)
@@ -557,8 +557,8 @@ def _unlinked(rows: DataFrame, linked: DataFrame, n: int, shingle: int, least: f
         if len(token):
             yield pairs(token, node, size, place)
 
-    begun = rows.select("node", "text").mapInArrow(begin, "token long, node long, n int, at int")
-    met = staged(begun.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(meet, "a long, b long, n int, m int, first boolean, crowd boolean"), "met")
+    begun = rows.select("node", "text").mapInArrow(lean(begin), "token long, node long, n int, at int")
+    met = staged(begun.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(lean(meet), "a long, b long, n int, m int, first boolean, crowd boolean"), "met", TEXT_BATCH)
     home = lambda x: linked.select(F.col("node").alias(x), F.col("component").alias(f"{x}_in"))
     apart = F.coalesce(F.col("a_in"), F.col("a")) != F.coalesce(F.col("b_in"), F.col("b"))
     plain = met.where("not crowd").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("first").alias("first"), F.max(F.struct("n", "m")).alias("s")).select("a", "b", "c", "first", "s.n", "s.m")
@@ -602,7 +602,7 @@ def similar_texts(docs: DataFrame, text: str = "text", distance: int = WIDE_DIST
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(fps.reshape(-1).view(np.int64)))], ["node", "n", "fps"])
 
     rows = docs.select(node_of(text).alias("node"), F.col(text).alias("text"))
-    signed = staged(rows.mapInArrow(sign, "node long, n int, fps array<long>").dropDuplicates(["node"]), "signed")
+    signed = staged(rows.mapInArrow(lean(sign), "node long, n int, fps array<long>").dropDuplicates(["node"]), "signed", TEXT_BATCH)
     one = signed.select("node", "n", F.posexplode("fps").alias("i", "fp"))
     heads = staged(one.groupBy("i", "fp").agg(F.min(F.struct("n", "node")).alias("h")).select("i", "fp", "h.n", "h.node"), "heads")
     # A text whose fingerprint is another's too is compared with the first.
