@@ -578,11 +578,13 @@ def cut(text: bytes, starts: np.ndarray, masks: np.ndarray, whole: bool) -> tupl
     if whole:
         return len(text), 1, b""
     edge = np.zeros(len(text) + 1, np.int64)
-    for j in range(SPAN):
-        at = starts[(masks >> j) & 1 == 1] + j
+    some = max(1 << 14, len(text) // 64)  # marks at once: about as much memory as the edges
+    for k in range(0, len(starts), some):
+        row, step = np.nonzero((masks[k : k + some, None] >> np.arange(SPAN)) & 1)
+        at = starts[k : k + some][row] + step
         at = at[at + LENGTH <= len(text)]
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + LENGTH, -1)
+        edge += np.bincount(at, minlength=len(edge))
+        edge -= np.bincount(at + LENGTH, minlength=len(edge))
     gone = np.cumsum(edge[:-1]) > 0
     return int(gone.sum()), int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()), np.frombuffer(text, np.uint8)[~gone].tobytes()
 
