@@ -47,6 +47,8 @@ SAMPLE = 4096
 ORDER_TEXTS, ORDER_SHINGLES = 1 << 14, 200_000
 #: Texts of one shingle from which its pairs are made by a join, of what is not linked yet.
 CROWD = 128
+#: Longs of 64 bits of a text's sketch.
+SKETCH = 16
 #: What one candidate costs in units of one row of the index.
 PAIR_COST = 0.02
 #: Members of a bucket from which it is dealt out in blocks, and members of a block.
@@ -68,16 +70,19 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> list[bytes]:
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    return _fingerprints(shingles(text, shingle), 1)[0]
+    return _fingerprints(_values(shingles(text, shingle)), 1)[0]
 
 
-def _fingerprints(parts: list[bytes], n: int) -> list[int]:
-    """n fingerprints: of the hashes, and of other hashes made from them."""
+def _values(parts: list[bytes]) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    if not parts:
+    return np.array([xxh64_intdigest(s, SEED) for s in parts], "<u8")
+
+
+def _fingerprints(values: np.ndarray, n: int) -> list[int]:
+    """n fingerprints: of the hashes, and of other hashes made from them."""
+    if not len(values):
         return [0] * n
-    values = np.array([xxh64_intdigest(s, SEED) for s in parts], "<u8")
     ones = np.zeros(64 * n, np.int64)
     for at in range(0, len(values), 1 << 13):
         some = np.repeat(values[at : at + (1 << 13), None], n, axis=1)
@@ -429,9 +434,32 @@ def _decided(pairs: DataFrame, rows: DataFrame, shingle: int, least: float) -> D
 
 def _hashes(text: str | None, shingle: int) -> np.ndarray:
     """The set of a text's shingles, hashed and sorted."""
-    from xxhash import xxh64_intdigest
+    return np.unique(_values(shingles(text, shingle)))
+
+
+def _sketch(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each place, set if an odd number of different hashes falls there. What two sets
+    have in common cancels out, so two sketches differ in no more bits than the sets in members."""
+    odd = np.bincount((np.unique(hashes) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
 
-    return np.unique(np.array([xxh64_intdigest(s, SEED) for s in shingles(text, shingle)], np.uint64))
+def _room(least: float) -> float:
+    """Sets of n and m members with the similarity differ in no more than this times n + m."""
+    return (1 - least) / (1 + least)
+
+
+def _not_apart(x: str, y: str, sizes: Column, least: float) -> Column:
+    """Whether the sketches in two columns leave the similarity possible."""
+    bits = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+    return bits <= _room(least) * sizes + 1e-6
+
+
+def _sketched(pairs: DataFrame, signed: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that the sketches of ``signed`` don't rule out."""
+    of = lambda x: signed.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
+    both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    return both.where(_not_apart("a_sketch", "b_sketch", F.col("a_n") + F.col("b_n"), least)).select("a", "b")
 
 
 def _common(rows: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -451,24 +479,83 @@ def _common(rows: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarr
     return token[order], often[order]
 
 
-def _crowd_pairs(crowd: DataFrame, least: float) -> DataFrame:
-    """(a, b, n, m) of members (token, a, n, at, a_in) of large buckets: pairs of different
-    components of which one shingle may be the first in common."""
-    # The largest size of a text with which the shingle may be that.
+def _mixed(crowd: DataFrame, least: float) -> DataFrame:
+    """Members (token, a, n, at, a_in) of large buckets that may have a pair there, and ``reach``,
+    the largest size of a text with which the shingle may be the first in common."""
     reach = (F.col("n") - F.col("at") + 1e-6) * ((1 + least) / least) - F.col("n")
     # A shingle whose members are in one component by now, or reach none of the others, has no pairs.
     small = crowd.groupBy("token").agg(F.min("n").alias("small"))
     fit = crowd.withColumn("reach", reach).join(small, "token").where("reach >= small").drop("small")
     mixed = fit.groupBy("token").agg((F.min("a_in") < F.max("a_in")).alias("mixed")).where("mixed").select("token")
-    x = fit.join(mixed, "token", "left_semi")
-    y = x.select("token", F.col("a").alias("b"), F.col("n").alias("m"), F.col("a_in").alias("b_in"), F.col("reach").alias("b_reach"))
+    return fit.join(mixed, "token", "left_semi")
+
+
+def _with_sketch(members: DataFrame, signed: DataFrame) -> DataFrame:
+    return members.join(signed.select(F.col("node").alias("a"), "sketch"), "a")
+
+
+def _crowd_pairs(crowd: DataFrame, least: float, signed: DataFrame | None = None) -> DataFrame:
+    """(a, b, n, m) of members (token, a, n, at, a_in) of large buckets: pairs of different
+    components of which one shingle may be the first in common, unless their sketches rule
+    them out, if ``signed`` has them."""
+    x = _mixed(crowd, least)
+    if signed is not None:
+        x = _with_sketch(x, signed)
+    y = x.select("token", F.col("a").alias("b"), F.col("n").alias("m"), F.col("a_in").alias("b_in"), F.col("reach").alias("b_reach"), *([F.col("sketch").alias("b_sketch")] if signed is not None else []))
     fits = (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9) & (F.col("reach") >= F.col("m")) & (F.col("b_reach") >= F.col("n"))
+    if signed is not None:
+        fits = fits & _not_apart("sketch", "b_sketch", F.col("n") + F.col("m"), least)
     return x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("a_in") != F.col("b_in")) & fits).select("a", "b", "n", "m").distinct()
 
 
-def _unlinked(rows: DataFrame, linked: DataFrame, n: int, shingle: int, least: float) -> DataFrame:
-    """(a, b), staged: all pairs of texts (node, text) in different components of ``linked``
-    that may have the similarity.
+def _closest(crowd: DataFrame, signed: DataFrame, least: float, hot: int) -> DataFrame:
+    """(a, b), staged: for each member of a large bucket outside its largest component at most
+    two of other components that it may be similar to: by sketch the closest of the largest
+    component, and of the rest. As many rows as members, however many pairs there are."""
+    members = _mixed(crowd, least)
+    n = members.groupBy("token").agg(F.ceil(F.count("*") / hot).cast("int").alias("blocks"))
+    block = members.join(n, "token").withColumn("i", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    dealt = block.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("i", "j"), "hi": F.greatest("i", "j")})
+    rows = _with_sketch(dealt, signed).select("token", "lo", "hi", "a", "n", "reach", "a_in", "sketch")
+
+    def one(node: np.ndarray, size: np.ndarray, reach: np.ndarray, home: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[int, int]]:
+        homes, counts = np.unique(home, return_counts=True)
+        main = home == homes[counts.argmax()]
+        for x in np.nonzero(~main)[0].tolist():
+            at = np.nonzero((home != home[x]) & (reach >= size[x]) & (size <= reach[x]) & (np.minimum(size, size[x]) >= least * np.maximum(size, size[x]) - 1e-9))[0]
+            d = np.bitwise_count(sketch[at] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+            near = d <= _room(least) * (size[at] + size[x]) + 1e-6
+            for of in (main[at] & near, ~main[at] & near):
+                if of.any():
+                    y = at[of][d[of].argmin()]
+                    yield int(min(node[x], node[y])), int(max(node[x], node[y]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(parts: list[np.ndarray]) -> pa.RecordBatch:
+            key, rest = np.stack(parts[:3], axis=1), parts[3:]
+            cuts = np.r_[0, np.nonzero((key[1:] != key[:-1]).any(axis=1))[0] + 1, len(key)]
+            out = sorted({p for a, b in zip(cuts[:-1], cuts[1:], strict=True) for p in one(*(x[a:b] for x in rest))})
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        held: list[np.ndarray] | None = None
+        for b in batches:
+            new = [c.to_numpy(zero_copy_only=False) for c in b.columns[:-1]] + [_unsigned(pa.compute.list_flatten(b.column(b.num_columns - 1))).reshape(-1, SKETCH)]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new, strict=True)]
+            # The last bucket may go on in the next batch.
+            other = np.nonzero(np.any([k != k[-1:] for k in held[:3]], axis=0))[0]
+            if len(other):
+                yield found([x[: other[-1] + 1] for x in held])
+                held = [x[other[-1] + 1 :] for x in held]
+        if held is not None and len(held[0]):
+            yield found(held)
+
+    pairs = rows.repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi").mapInArrow(lean(run), "a long, b long")
+    return staged(pairs.distinct(), "closest")
+
+
+def _met(rows: DataFrame, n: int, shingle: int, least: float) -> DataFrame:
+    """(a, b, n, m, first, crowd), staged: pairs of n texts (node, text) that may have the
+    similarity; of large buckets the members, as (a, token, n, place).
 
     Two sets of n and m shingles with a similarity of t have t * max(n, m) in common or more.
     So, in any one order of all shingles, the first n - ceil(t * n) + 1 of one and as many of
@@ -558,14 +645,26 @@ def _unlinked(rows: DataFrame, linked: DataFrame, n: int, shingle: int, least: f
             yield pairs(token, node, size, place)
 
     begun = rows.select("node", "text").mapInArrow(lean(begin), "token long, node long, n int, at int")
-    met = staged(begun.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(lean(meet), "a long, b long, n int, m int, first boolean, crowd boolean"), "met", TEXT_BATCH)
+    return staged(begun.repartition("token").sortWithinPartitions("token", "n", "node").mapInArrow(lean(meet), "a long, b long, n int, m int, first boolean, crowd boolean"), "met", TEXT_BATCH)
+
+
+def _crowd(met: DataFrame) -> DataFrame:
+    """(token, a, n, at), staged: the members of large buckets."""
+    return staged(met.where("crowd").select(F.col("b").alias("token"), "a", "n", F.col("m").alias("at")).distinct(), "crowd")
+
+
+def _at_home(crowd: DataFrame, linked: DataFrame) -> DataFrame:
+    """The members with their components, ``a_in``."""
+    return crowd.join(linked.select(F.col("node").alias("a"), F.col("component").alias("a_in")), "a", "left").withColumn("a_in", F.coalesce("a_in", "a"))
+
+
+def _unlinked(met: DataFrame, crowd: DataFrame, signed: DataFrame, linked: DataFrame, least: float) -> DataFrame:
+    """(a, b), staged: all pairs of different components of ``linked`` that may be similar."""
     home = lambda x: linked.select(F.col("node").alias(x), F.col("component").alias(f"{x}_in"))
     apart = F.coalesce(F.col("a_in"), F.col("a")) != F.coalesce(F.col("b_in"), F.col("b"))
     plain = met.where("not crowd").groupBy("a", "b").agg(F.count("*").alias("c"), F.max("first").alias("first"), F.max(F.struct("n", "m")).alias("s")).select("a", "b", "c", "first", "s.n", "s.m")
     plain = plain.join(home("a"), "a", "left").join(home("b"), "b", "left").where(apart).select("a", "b", "n", "m", "c", "first")
-    crowd = met.where("crowd").select("a", F.col("b").alias("token"), "n", F.col("m").alias("at")).distinct()
-    crowd = staged(crowd.join(home("a"), "a", "left").withColumn("a_in", F.coalesce("a_in", "a")), "crowd")
-    dense = _crowd_pairs(crowd, least).withColumns({"c": F.lit(0).cast("long"), "first": F.lit(True)})
+    dense = _crowd_pairs(_at_home(crowd, linked), least, signed).withColumns({"c": F.lit(0).cast("long"), "first": F.lit(True)})
     # Of large buckets two texts share no more than the one that is in fewer of them.
     crowds = crowd.groupBy("a").agg(F.count("*").alias("k"))
     of = lambda x: crowds.select(F.col("a").alias(x), F.col("k").alias(f"{x}_k"))
@@ -575,7 +674,7 @@ def _unlinked(rows: DataFrame, linked: DataFrame, n: int, shingle: int, least: f
     # Behind the shorter or the longer beginning, whichever ends first in the order.
     behind = F.greatest(*(F.ceil(F.lit(least) * F.col(k) - 1e-9) - 1 for k in ("n", "m")))
     enough = common + behind >= least / (1 + least) * (F.col("n") + F.col("m")) - 1e-6
-    return staged(both.where(enough).select("a", "b"), "unlinked")
+    return staged(_sketched(both.where(enough), signed, least), "unlinked")
 
 
 def similar_texts(docs: DataFrame, text: str = "text", distance: int = WIDE_DISTANCE, shingle: int = WIDE_SHINGLE, least: float = SIMILARITY, hot: int = HOT) -> DataFrame:
@@ -586,23 +685,26 @@ def similar_texts(docs: DataFrame, text: str = "text", distance: int = WIDE_DIST
     and of those up to ``distance`` whatever agrees in a group of the plan. Only sets whose
     sizes allow the similarity come together: sizes fall into classes by powers of 1 / least,
     and a text meets those of its own and of the next class. This is a spanning forest of the
-    closest links, so groups of any size give at most one pair per text and task. Then
-    ``_unlinked`` gives all other pairs that may be similar and are not in one component yet.
-    Both are decided by the shingles themselves.
+    closest links, so groups of any size give at most one pair per text and task. Then what
+    stands alone in a bucket of very many meets its closest there, and ``_unlinked`` gives all
+    other pairs that may be similar and are not in one component yet. All are decided by the
+    shingles themselves, once their sketches leave them possible.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps, sizes = np.zeros((len(b), FINGERPRINTS), np.uint64), np.zeros(len(b), np.int32)
+            sketch = np.zeros((len(b), SKETCH), np.uint64)
             for i, t in enumerate(b.column(1)):
                 # One text at a time: the shingles of a batch would be many times its texts.
                 parts = shingles(t.as_py(), shingle)
-                fps[i], sizes[i] = _fingerprints(parts, FINGERPRINTS), len(set(parts))
-            offsets = pa.array(np.arange(0, fps.size + 1, FINGERPRINTS, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), pa.ListArray.from_arrays(offsets, pa.array(fps.reshape(-1).view(np.int64)))], ["node", "n", "fps"])
+                values = _values(parts)
+                fps[i], sizes[i], sketch[i] = _fingerprints(values, FINGERPRINTS), len(set(parts)), _sketch(values)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1).view(np.int64))) for x in (fps, sketch)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), *lists], ["node", "n", "fps", "sketch"])
 
     rows = docs.select(node_of(text).alias("node"), F.col(text).alias("text"))
-    signed = staged(rows.mapInArrow(lean(sign), "node long, n int, fps array<long>").dropDuplicates(["node"]), "signed", TEXT_BATCH)
+    signed = staged(rows.mapInArrow(lean(sign), "node long, n int, fps array<long>, sketch array<long>").dropDuplicates(["node"]), "signed", TEXT_BATCH)
     one = signed.select("node", "n", F.posexplode("fps").alias("i", "fp"))
     heads = staged(one.groupBy("i", "fp").agg(F.min(F.struct("n", "node")).alias("h")).select("i", "fp", "h.n", "h.node"), "heads")
     # A text whose fingerprint is another's too is compared with the first.
@@ -617,10 +719,18 @@ def similar_texts(docs: DataFrame, text: str = "text", distance: int = WIDE_DIST
     far = links(inside, plan, distance, hot).select(F.col("a").alias("fa"), F.col("b").alias("fb")).distinct()
     far = far.join(side("fa", "a", "n"), "fa").join(side("fb", "b", "m"), "fb").select("a", "b", "n", "m")
     found = same.unionByName(far).where(F.least("n", "m") >= least * F.greatest("n", "m")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = staged(found.where("a <> b").distinct(), "pairs")
+    pairs = staged(_sketched(found.where("a <> b").distinct(), signed, least), "pairs")
     near = _decided(pairs, rows, shingle, least)
     linked = components(near)
-    rest = _decided(_unlinked(rows, linked, signed.count(), shingle, least), rows, shingle, least)
+    met = _met(rows, signed.count(), shingle, least)
+    crowd = _crowd(met)
+    # Every round halves, at least, the components that have a link to their closest.
+    while not (close := _closest(_at_home(crowd, linked), signed, least, hot)).isEmpty():
+        if (more := _decided(close, rows, shingle, least)).isEmpty():
+            break
+        near = near.unionByName(more)
+        linked = staged(components(near), "linked")
+    rest = _decided(_unlinked(met, crowd, signed, linked, least), rows, shingle, least)
     return linked if rest.isEmpty() else components(near.unionByName(rest))
 
 

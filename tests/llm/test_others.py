@@ -555,6 +555,43 @@ def test_crowds_pair_only_what_may_be_alike(spark):
     assert got == want and len(got) == 3 * 200 + 3 + 1
 
 
+@pytest.mark.parametrize("n", [1, 700])
+def test_sketches_rule_out_no_similar_sets(n):
+    r = np.random.default_rng(n)
+    for k in range(0, n + 1, max(1, n // 20)):
+        x = r.integers(0, 1 << 63, n, np.uint64)
+        y = np.r_[x[k:], r.integers(0, 1 << 63, k, np.uint64)]
+        bits = int(np.bitwise_count(sp._sketch(np.r_[x, x]) ^ sp._sketch(y)).sum())
+        assert bits <= len(set(x.tolist()) ^ set(y.tolist()))
+    assert not sp._sketch(x[:0]).any()
+
+
+@pytest.mark.parametrize("fingerprints_", [True, False])
+def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch, fingerprints_):
+    # Copies on both sides of the limit: each is similar to a part of the others.
+    if not fingerprints_:
+        monkeypatch.setattr(sp, "links", lambda rows, *_: rows.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false"))
+    made, staged = {}, sp.staged
+
+    def counted(df, name, *more):
+        out = staged(df, name, *more)
+        made[name] = made.get(name, 0) + (out.count() if name in ("pairs", "closest", "unlinked") else 0)
+        return out
+
+    monkeypatch.setattr(sp, "staged", counted)
+    r = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    docs = []
+    for i in range(400):
+        words = list(base)
+        for _ in range(r.randint(1, 5)):
+            words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+        docs.append((i, " ".join(words)))
+    found = {r["node"]: r["component"] for r in sp.similar_texts(table(spark, docs)).collect()}
+    assert len(docs) - len(found) + len(set(found.values())) == len(brute_kept(docs))
+    assert sum(made.values()) <= 12 * len(docs), made
+
+
 def test_texts_without_words_are_near_copies(spark):
     found = sp.similar_texts(table(spark, [(1, ""), (2, None), (3, " "), (4, "\n"), (5, "a b"), (6, "A  b")]))
     assert sorted(len(list(g)) for _, g in __import__("itertools").groupby(sorted(r["component"] for r in found.collect()))) == [2, 3]
