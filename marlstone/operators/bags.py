@@ -1,28 +1,34 @@
 """Words, pairs and 4-grams of whole blocks of texts, by arrays: nothing is a row for each of a
-text's features. Terms go by hashes of 64 bits and are written out only where they leave."""
+text's features. Within a block terms go by hashes of 64 bits; between blocks they are written out."""
 
 from __future__ import annotations
 
 import ctypes
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .index import NORMS
 
 #: Characters of text that a worker holds as features at once, about 30 times as many bytes.
 BLOCK = 6 << 20
 #: Characters of text whose terms meet in one bucket.
-BUCKET = 16 << 20
-#: Labels whose sizes go to all tasks, at most, and those of more than a block that are named in the plan.
-FEW, LARGE = 10_000, 64
+BUCKET = 4 << 20
+#: Sums by term and label that are a matrix, at most; more are sorted.
+CELLS = 1 << 23
 #: Characters that are hashed at once, and terms that leave at once.
 PIECE, OUT = 1 << 20, 1 << 17
 
+#: What a block sends to a bucket; the last three once only.
+FIELDS = ["_bucket", "_block", "_rows", "_sizes", "_data", "_many", "_step", "_tf", "_df", "_of", "_times", "_names"]
+
 _U = np.uint64
 _rng = np.random.default_rng(20240607)
 _BYTES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
@@ -150,23 +156,6 @@ def _give_back() -> None:
         trim(0)
 
 
-def _packed(keys: np.ndarray) -> bytes:
-    """Sorted hashes: 6 bytes for each step if all steps fit."""
-    steps = np.diff(keys)
-    if not len(steps) or steps.max() >> _U(48):
-        return b"\x08" + keys.tobytes()
-    return b"\x06" + keys[:1].tobytes() + steps.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    if data[:1] == b"\x08":
-        return np.frombuffer(data, np.uint64, offset=1)
-    steps = np.zeros(((len(data) - 9) // 6 + 1, 8), np.uint8)
-    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
-    steps[1:, :6] = np.frombuffer(data, np.uint8, offset=9).reshape(-1, 6)
-    return np.cumsum(steps.reshape(-1).view(np.uint64))
-
-
 def _small(values: np.ndarray) -> bytes:
     """Counts: a byte each, and 8 more for those of 255 or more."""
     return np.minimum(values, 255).astype(np.uint8).tobytes() + values[values >= 255].astype(np.int64).tobytes()
@@ -178,6 +167,31 @@ def _large(data: bytes, n: int) -> np.ndarray:
     return values
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers of up to 32 bits, first bytes together, as those of a kind pack better."""
+    data = values.astype(np.uint32).view(np.uint8).reshape(-1, 4)
+    wide = 2 if not len(values) or values.max() < 1 << 16 else 4
+    return zlib.compress(bytes([wide]) + np.ascontiguousarray(data[:, :wide].T).tobytes(), 1)
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(data), np.uint8)
+    wide = int(raw[0])
+    out = np.zeros(((len(raw) - 1) // wide, 4), np.uint8)
+    out[:, :wide] = raw[1:].reshape(wide, -1).T
+    return out.reshape(-1).view(np.uint32).astype(np.int64)
+
+
+def _written(terms: pa.StringArray) -> tuple[bytes, bytes]:
+    offsets = np.frombuffer(terms.buffers()[1], np.int32, len(terms) + 1)
+    return _planes(np.diff(offsets)), zlib.compress(terms.buffers()[2], 1)
+
+
+def _read(sizes: bytes, data: bytes) -> pa.StringArray:
+    offsets = np.concatenate([[0], np.cumsum(_numbers(sizes))]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(zlib.decompress(data)))
+
+
 def counts(docs: DataFrame, row: str, text: str = "text") -> DataFrame:
     """(row, term, tf) by words, pairs and 4-grams; texts of one row count together."""
     kind = docs.schema[row].dataType.simpleString()
@@ -208,9 +222,10 @@ def sums(docs: DataFrame, label: str, min_df: int, n: int, row: str = "row") ->
     in the label's rows of unit length, by words, pairs and 4-grams. A row of the table without
     a label, or without a row's name, counts only in df.
 
-    Texts are dealt out by label in blocks. A block sends the distinct terms it has to their
-    buckets and gets back how many rows have them, in the same order; then it knows its rows'
-    lengths and adds up.
+    A block of texts is looked at once and sends to each bucket the terms it has there and which
+    rows have them. Buckets say what their terms add to the lengths of a block's rows and, once
+    these are known, read the same again and add up. All of a term comes out in one task and
+    one after another.
     """
     kind = docs.schema[label].dataType.simpleString()
     rows = docs.select(F.col(row).alias("_row"), F.col(label).alias("_label"), flat(F.col("text")).alias("_flat"))
@@ -229,97 +244,138 @@ def sums(docs: DataFrame, label: str, min_df: int, n: int, row: str = "row") ->
         rows = single.select("_row", "_label", F.array("_flat").alias("_flats"), one.alias("_df"), one.alias("_times")).unionByName(
             several.select("_row", "_l._label", "_flats", F.when(F.col("_i") == 0, 1).otherwise(0).alias("_df"), F.col("_l._times"))
         )
-    # Sizes as they were read, to place rows by; words are found once they are placed.
-    sizes = docs.groupBy(F.col(label).alias("_of")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("_chars")).persist()
-    all_of = sizes.agg(F.sum("_chars").alias("chars"), F.count("*").alias("n")).first()
-    chars = all_of["chars"] or 0
-    parts = sizes.where(F.col("_chars") > BLOCK).select("_of", F.ceil(F.col("_chars") / BLOCK).cast("int").alias("_parts"))
-    large = {r["_of"]: r["_parts"] for r in parts.limit(LARGE + 1).collect()}
-    one = F.lit(1)
-    if len(large) > LARGE:
-        parts = F.broadcast(parts) if all_of["n"] <= FEW else parts
-        placed = rows.join(parts, F.col("_label").eqNullSafe(F.col("_of")), "left")
-        n_parts = F.coalesce("_parts", one)
-    else:
-        # No join, so that both looks at the texts are one shuffle.
-        placed, n_parts = rows, one
-        for of, k in large.items():
-            n_parts = F.when(F.col("_label").eqNullSafe(F.lit(of).cast(kind)), k).otherwise(n_parts)
-    bits = max(0, int(np.ceil(np.log2(max(1.0, chars / BUCKET)))))
-    part = F.pmod(F.xxhash64("_row"), n_parts)
-    block = F.concat(F.coalesce(F.concat(F.lit("="), F.col("_label").cast("string")), F.lit("")), F.lit("/"), part.cast("string"))
-    many = max(1, min(100_000, int(chars // BLOCK * 2)), docs.sparkSession.sparkContext.defaultParallelism)
-    dealt = placed.select(block.alias("_block"), "_label", "_flats", "_df", "_times").repartition(many, "_block")
-
-    def bag(table: pa.Table) -> Bag:
-        lists = _one(table["_flats"])
-        return Bag(pa.compute.list_flatten(lists), np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy()))
-
-    def edges(keys: np.ndarray) -> np.ndarray:
+    size = docs.agg(F.sum(F.length("text").cast("long")).alias("chars"), F.count("*").alias("n")).first()
+    bits = max(0, int(np.ceil(np.log2(max(1.0, (size["chars"] or 0) / BUCKET)))))
+    many = max(min(1 << bits, 100_000), docs.sparkSession.sparkContext.defaultParallelism)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at_block = TaskContext.get().partitionId(), 0
         starts = np.arange(1 << bits, dtype=np.uint64) << _U(64 - bits) if bits else np.zeros(1, np.uint64)
-        return np.append(np.searchsorted(keys, starts), len(keys))
-
-    def send(table: pa.Table) -> pa.Table:
-        x = bag(table)
-        counted = np.bincount(x.term, table["_df"].to_numpy()[x.row], len(x.keys)).astype(np.int64)
-        cuts = edges(x.keys)
-        used = [i for i in range(1 << bits) if cuts[i] < cuts[i + 1]]
-        out = pa.table(
-            {
-                "_bucket": pa.array(used, pa.int32()),
-                "_block": pa.array([table["_block"][0].as_py()] * len(used), pa.string()),
-                "_keys": pa.array([_packed(x.keys[cuts[i] : cuts[i + 1]]) for i in used], pa.binary()),
-                "_df": pa.array([_small(counted[cuts[i] : cuts[i + 1]]) for i in used], pa.binary()),
-            }
-        )
-        del x
-        _give_back()
-        return out
+        try:
+            for b in batches:
+                lists = b.column(1)
+                of = pa.compute.list_value_length(lists).to_numpy()
+                flats = pa.compute.list_flatten(lists)
+                row = np.repeat(np.arange(b.num_rows), of)
+                chars = np.cumsum(np.bincount(row, pa.compute.binary_length(flats).to_numpy(), b.num_rows))
+                first, at = np.cumsum(of) - of, 0
+                while at < b.num_rows:
+                    to = max(at + 1, int(np.searchsorted(chars, (chars[at - 1] if at else 0) + BLOCK, "right")))
+                    end = int(first[to]) if to < b.num_rows else len(flats)
+                    yield from block(f"{part}/{at_block}", b.slice(at, to - at), flats.slice(int(first[at]), end - int(first[at])), row[first[at] : end] - at, starts)
+                    at, at_block = to, at_block + 1
+        finally:
+            _give_back()
 
-    def answer(table: pa.Table) -> pa.Table:
-        keys = [_unpacked(k.as_py()) for k in table["_keys"]]
-        counted = np.concatenate([_large(d.as_py(), len(k)) for d, k in zip(table["_df"], keys, strict=True)])
-        cuts = np.cumsum([len(k) for k in keys])[:-1]
-        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        df = np.bincount(place, counted, len(distinct)).astype(np.int64)
+    def block(name: str, rows: pa.RecordBatch, flats: pa.StringArray, row: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        x = Bag(flats, row)
+        cuts = np.append(np.searchsorted(x.keys, starts), len(x.keys))
+        order = np.argsort(x.term, kind="stable")  # by term, then row
+        term, row, tf = x.term[order], x.row[order], x.tf[order]
+        del order
+        in_df = rows.column(2).to_numpy()
+        step = row.copy()
+        same = term[1:] == term[:-1]
+        step[1:][same] -= row[:-1][same]
+        at = np.searchsorted(term, cuts)
+        places = rows.column(0).dictionary_encode()
+        of = places.indices.fill_null(len(places.dictionary)).to_numpy()
+        names = pa.concat_arrays([places.dictionary, pa.nulls(1, places.dictionary.type)])
+        told = False
+        for i in range(len(starts)):
+            lo, hi, p, q = cuts[i], cuts[i + 1], at[i], at[i + 1]
+            if lo == hi and (told or i + 1 < len(starts)):
+                continue
+            sizes, data = _written(x.strings(np.arange(lo, hi)))
+            df = np.bincount(term[p:q] - lo, in_df[row[p:q]], hi - lo) if (in_df == 0).any() else None
+            columns = [pa.array([i], pa.int32()), pa.array([name]), pa.array([rows.num_rows], pa.int32()), *(pa.array([v], pa.binary()) for v in (sizes, data, zlib.compress(_small(np.bincount(term[p:q] - lo, minlength=hi - lo)), 1), _planes(step[p:q]), zlib.compress(_small(tf[p:q]), 1), None if df is None else _small(df)))]
+            about = pa.array([None if told else _planes(of), None if told else _planes(rows.column(3).to_numpy())], pa.binary())
+            listed = pa.ListArray.from_arrays(pa.array([0, 0 if told else len(names)], pa.int32()), names.slice(0, 0 if told else len(names)))
+            told = True
+            yield pa.RecordBatch.from_arrays([*columns, about.slice(0, 1), about.slice(1, 1), listed], FIELDS)
+
+    def opened(table: pa.Table) -> tuple:
+        """(terms, df, idf, and for each block its terms' places, and of each posting term, row, tf)."""
+        got = {c: table[c].to_pylist() for c in ("_sizes", "_data", "_many", "_step", "_tf", "_df")}
+        written = [_read(a, b) for a, b in zip(got["_sizes"], got["_data"], strict=True)]
+        terms = pa.concat_arrays(written).dictionary_encode()
+        places = np.split(terms.indices.to_numpy(), np.cumsum([len(w) for w in written])[:-1])
+        df, blocks = np.zeros(len(terms.dictionary), np.int64), []
+        for k, at in enumerate(places):
+            often = _large(zlib.decompress(got["_many"][k]), len(at))
+            df[at] += often if got["_df"][k] is None else _large(got["_df"][k], len(at))
+            blocks.append((at, often, got["_step"][k], got["_tf"][k]))
         df[(df < min_df) | (df >= n)] = 0
-        out = pa.table({"_block": _one(table["_block"]), "_bucket": _one(table["_bucket"]), "_df": pa.array([_small(x) for x in np.split(df[place], cuts)], pa.binary())})
-        del keys, counted, distinct, place, df
-        _give_back()
-        return out
-
-    def add(table: pa.Table, answers: pa.Table) -> pa.Table:
-        x = bag(table)
-        cuts = edges(x.keys)
-        df = np.zeros(len(x.keys), np.int64)
-        for i, d in zip(answers["_bucket"].to_pylist(), answers["_df"], strict=True):
-            df[cuts[i] : cuts[i + 1]] = _large(d.as_py(), cuts[i + 1] - cuts[i])
-        kept = np.flatnonzero(df)
         idf = np.zeros(len(df))
-        idf[kept] = np.log(n / df[kept])
-        raw = (1 + np.log(x.tf)) * idf[x.term]
-        norm = np.sqrt(np.bincount(x.row, raw * raw, table.num_rows))
-        each = table["_times"].to_numpy() / np.where(norm == 0, 1.0, norm)
-        s = np.bincount(x.term, raw * each[x.row], len(df))
-        label_of = table["_label"][0]
-        chunks = []
-        for i in range(0, len(kept), OUT):
-            k = kept[i : i + OUT]
-            chunks.append(pa.record_batch([pa.repeat(label_of, len(k)), x.strings(k), pa.array(df[k]), pa.array(s[k])], names=["label", "term", "df", "s"]))
-        schema = pa.schema([("label", label_of.type), ("term", pa.string()), ("df", pa.int64()), ("s", pa.float64())])
-        del x, raw
+        idf[df > 0] = np.log(n / df[df > 0])
+        return terms.dictionary, df, idf, blocks
+
+    def postings(idf: np.ndarray, at: np.ndarray, often: np.ndarray, step: bytes, tf: bytes) -> tuple[np.ndarray, ...]:
+        """(term, row, raw weight) of a block's postings."""
+        row = np.cumsum(_numbers(step))
+        begin = np.cumsum(often) - often
+        row -= np.repeat(np.append(0, row)[begin], often)  # steps begin anew at each term
+        return np.repeat(at, often), row, (1 + np.log(_large(zlib.decompress(tf), len(row)))) * np.repeat(idf[at], often)
+
+    def lengths(table: pa.Table) -> pa.Table:
+        _, _, idf, blocks = opened(table)
+        squares = []
+        for k, size in zip(blocks, table["_rows"].to_pylist(), strict=True):
+            _, row, raw = postings(idf, *k)
+            squares.append(np.bincount(row, raw * raw, size).tobytes())
+        _give_back()
+        return pa.table([table["_block"], pa.array(squares, pa.binary()), table["_of"], table["_times"], table["_names"]], ["_block", "_squares", "_of", "_times", "_names"])
+
+    def whole(table: pa.Table) -> pa.Table:
+        norm = np.sqrt(np.sum([np.frombuffer(x.as_py()) for x in table["_squares"]], axis=0))
+        told = table.filter(pa.compute.is_valid(table["_of"]))
+        each = _numbers(told["_times"][0].as_py()) / np.where(norm == 0, 1.0, norm)
+        return pa.table([told["_block"], pa.array([each.tobytes()], pa.binary()), told["_of"], told["_names"]], ["_block", "_each", "_label_of", "_labels"])
+
+    def total(table: pa.Table) -> pa.Table:
+        terms, df, idf, blocks = opened(table)
+        listed = _one(table["_labels"])
+        names = pa.compute.list_flatten(listed).dictionary_encode(null_encoding="encode")
+        places = np.split(names.indices.to_numpy(), np.cumsum(pa.compute.list_value_length(listed).to_numpy())[:-1])
+        wide = len(names.dictionary)
+        dense = len(df) * wide <= CELLS
+        summed, found = np.zeros(len(df) * wide if dense else 0), []
+        for k, place, each, of in zip(blocks, places, table["_each"].to_pylist(), table["_label_of"].to_pylist(), strict=True):
+            term, row, raw = postings(idf, *k)
+            kept = raw > 0
+            term, row, raw = term[kept], row[kept], raw[kept]
+            code = term.astype(np.int64) * wide + place[_numbers(of)][row]
+            raw *= np.frombuffer(each)[row]
+            if dense:
+                summed += np.bincount(code, raw, len(summed))
+            else:
+                code, at = np.unique(code, return_inverse=True)
+                found.append((code, np.bincount(at, raw, len(code))))
+        if dense:
+            code = np.flatnonzero(summed)
+            summed = summed[code]
+        else:
+            code, at = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+            summed = np.bincount(at, np.concatenate([v for _, v in found]), len(code))
+        term, place = np.divmod(code, wide)
+        out = pa.table([names.dictionary.take(pa.array(place)), terms.take(pa.array(term)), pa.array(df[term]), pa.array(summed)], ["label", "term", "df", "s"])
         _give_back()
-        return pa.Table.from_batches(chunks, schema)
+        return out
 
-    sent = dealt.groupBy("_block").applyInArrow(send, "_bucket int, _block string, _keys binary, _df binary")
-    answers = sent.groupBy("_bucket").applyInArrow(answer, "_block string, _bucket int, _df binary").repartition(many, "_block")
-    added = dealt.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(add, f"label {kind}, term string, df long, s double")
-    return added.repartition(F.col("term")).groupBy(F.col("label").alias(label), "term").agg(F.max("df").alias("df"), F.sum("s").alias("s"))
+    blobs = ", ".join(f"{c} binary" for c in FIELDS[3:11])
+    sent = rows.select("_label", "_flats", "_df", "_times").mapInArrow(send, f"_bucket int, _block string, _rows int, {blobs}, _names array<{kind}>").repartition(many, "_bucket")
+    norms = sent.groupBy("_bucket").applyInArrow(lengths, f"_block string, _squares binary, _of binary, _times binary, _names array<{kind}>")
+    norms = norms.groupBy("_block").applyInArrow(whole, f"_block string, _each binary, _label_of binary, _labels array<{kind}>")
+    # Lengths and labels of all rows go to all tasks, if there are no more than NORMS.
+    norms = F.broadcast(norms) if size["n"] <= NORMS else norms
+    # Both looks take all columns and rows, so that they are one shuffle.
+    return sent.join(norms, "_block", "left").groupBy("_bucket").applyInArrow(total, f"label {kind}, term string, df long, s double").withColumnRenamed("label", label)
 
 
-def gram(cents: DataFrame, label: str, names: list) -> DataFrame:
+def gram(cents: DataFrame, label: str, names: list, together: bool = False) -> DataFrame:
     """(a, b, s): sums over terms of the products of two labels' weights, for a < b by place in
-    names, where not 0. A task looks at some terms and adds up products of matrices."""
+    names, where not 0. A task looks at some terms and adds up products of matrices. together:
+    all rows of a term already follow each other in one partition."""
     places = pa.array(names)
     size = len(names)
 
@@ -351,5 +407,6 @@ def gram(cents: DataFrame, label: str, names: list) -> DataFrame:
         return m.T @ m
 
     kind = cents.schema[label].dataType.simpleString()
-    dealt = cents.select("term", label, "weight").repartition(F.col("term")).sortWithinPartitions("term")
+    dealt = cents.select("term", label, "weight")
+    dealt = dealt if together else dealt.repartition(F.col("term")).sortWithinPartitions("term")
     return dealt.mapInArrow(run, f"a {kind}, b {kind}, s double").groupBy("a", "b").agg(F.sum("s").alias("s"))

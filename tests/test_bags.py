@@ -36,7 +36,7 @@ def test_packing():
     r = np.random.default_rng(1)
     for keys in (r.integers(0, 1 << 63, 5), r.integers(0, 1 << 40, 500), np.array([7])):
         keys = np.unique(keys.astype(np.uint64) * np.uint64(2) + np.uint64(1))
-        assert (bags._unpacked(bags._packed(keys)) == keys).all()
+        assert (bags._numbers(bags._planes(keys % np.uint64(1 << 31))) == keys % np.uint64(1 << 31)).all()
     values = np.array([0, 3, 255, 254, 1 << 40])
     assert (bags._large(bags._small(values), 5) == values).all()
     near = np.array([5, 4, 5, 1 << 60, (1 << 60) - 1, 5], np.uint64)
@@ -44,11 +44,11 @@ def test_packing():
 
 
 @pytest.mark.parametrize("odd", [False, True])
-@pytest.mark.parametrize("large", [64, 0])
-def test_centroids_by_blocks_equal_those_by_rows(spark, monkeypatch, odd, large):
+@pytest.mark.parametrize("cells", [1 << 23, 0])
+def test_centroids_by_blocks_equal_those_by_rows(spark, monkeypatch, odd, cells):
     monkeypatch.setattr(bags, "BLOCK", 300)  # several blocks a label
     monkeypatch.setattr(bags, "BUCKET", 500)
-    monkeypatch.setattr(bags, "LARGE", large)
+    monkeypatch.setattr(bags, "CELLS", cells)
     docs = odd_docs(spark)
     if odd:  # rows of one name, in several labels, and without a name
         docs = docs.unionByName(docs.where("row % 6 = 0").withColumn("skill", F.lit("y"))).unionByName(docs.where("row % 7 = 0").withColumn("row", F.lit(None).cast("long")))
@@ -64,6 +64,7 @@ def test_centroids_by_blocks_equal_those_by_rows(spark, monkeypatch, odd, large)
     assert rows(cents) == rows(want) and len(rows(want)) > 500
     assert rows(got.select("term", "df", "idf")) == rows(idf.select("term", "df", "idf"))
     sims = rows(profiles.similarities(cents, "skill"))
+    assert sims == rows(profiles.similarities(cents, "skill", together=True))
     monkeypatch.setattr(profiles, "DENSE", 0)
     assert sims == rows(profiles.similarities(cents, "skill")) and len(sims) == 3
     spark.catalog.clearCache()
@@ -75,7 +76,8 @@ def test_no_row_is_made_for_a_feature_of_a_text(spark):
     scores = profiles.route_scores(docs.select(F.col("row").alias("rid"), "text"), cents, idf)
     for df in (cents, scores):
         assert "Arrow" in plan_of(df) and "Generate explode(transform" not in plan_of(df) and "Generate explode(get(transform" not in plan_of(df)
-    # Both looks at the texts read one shuffle of them.
+    # Both looks at the terms read one shuffle of them.
+    spark.catalog.clearCache()
     summed = bags.sums(docs, "skill", 2, docs.count())
     summed.collect()
     assert "ReusedExchange" in plan_of(summed)
