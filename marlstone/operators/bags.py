@@ -23,6 +23,8 @@ BLOCK = 6 << 20
 BUCKET = 4 << 20
 #: Sums by term and label that are a matrix, at most; more are sorted.
 CELLS = 1 << 23
+#: Weights that are added to it at once.
+HELD = 1 << 20
 #: Characters that are hashed at once, and terms that leave at once.
 PIECE, OUT = 1 << 20, 1 << 17
 
@@ -244,6 +246,8 @@ def sums(docs: DataFrame, label: str, min_df: int, n: int, row: str = "row") ->
         rows = single.select("_row", "_label", F.array("_flat").alias("_flats"), one.alias("_df"), one.alias("_times")).unionByName(
             several.select("_row", "_l._label", "_flats", F.when(F.col("_i") == 0, 1).otherwise(0).alias("_df"), F.col("_l._times"))
         )
+        # These come from shuffles: kept, so that rows stand in one order if they are read again.
+        rows = rows.persist()
     size = docs.agg(F.sum(F.length("text").cast("long")).alias("chars"), F.count("*").alias("n")).first()
     bits = max(0, int(np.ceil(np.log2(max(1.0, (size["chars"] or 0) / BUCKET)))))
     many = max(min(1 << bits, 100_000), docs.sparkSession.sparkContext.defaultParallelism)
@@ -339,7 +343,15 @@ def sums(docs: DataFrame, label: str, min_df: int, n: int, row: str = "row") ->
         places = np.split(names.indices.to_numpy(), np.cumsum(pa.compute.list_value_length(listed).to_numpy())[:-1])
         wide = len(names.dictionary)
         dense = len(df) * wide <= CELLS
-        summed, found = np.zeros(len(df) * wide if dense else 0), []
+        summed, found, held = np.zeros(len(df) * wide if dense else 0), [], []
+
+        def flush() -> None:
+            # The matrix is passed over once for many blocks.
+            if held:
+                code, raw = (np.concatenate(x) for x in zip(*held, strict=True))
+                np.add(summed, np.bincount(code, raw, len(summed)), out=summed)
+                held.clear()
+
         for k, place, each, of in zip(blocks, places, table["_each"].to_pylist(), table["_label_of"].to_pylist(), strict=True):
             term, row, raw = postings(idf, *k)
             kept = raw > 0
@@ -347,11 +359,14 @@ def sums(docs: DataFrame, label: str, min_df: int, n: int, row: str = "row") ->
             code = term.astype(np.int64) * wide + place[_numbers(of)][row]
             raw *= np.frombuffer(each)[row]
             if dense:
-                summed += np.bincount(code, raw, len(summed))
+                held.append((code, raw))
+                if sum(len(c) for c, _ in held) > HELD:
+                    flush()
             else:
                 code, at = np.unique(code, return_inverse=True)
                 found.append((code, np.bincount(at, raw, len(code))))
         if dense:
+            flush()
             code = np.flatnonzero(summed)
             summed = summed[code]
         else:
